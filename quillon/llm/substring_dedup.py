@@ -184,12 +184,15 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
 
 
 def compacted(paths: DataFrame) -> DataFrame:
-    """Spans of consecutive edges with consecutive edges of the same source, longest possible."""
-    w = Window.partitionBy("doc_id", "text_key").orderBy("start")
+    """Spans of consecutive edges with consecutive edges of the same source, longest possible.
+
+    Repeated rows of documents repeat their paths, which changes nothing.
+    """
+    w = Window.partitionBy("doc_id", "text_key").orderBy("start", "n", "source_id", "source_start")
     goes_on = (F.lag("source_id").over(w) == F.col("source_id")) & (F.lag(F.col("start") + F.col("n")).over(w) == F.col("start")) & (F.lag(F.col("source_start") + F.col("n")).over(w) == F.col("source_start"))
-    chained = paths.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(w))
-    merged = chained.groupBy("doc_id", "text_key", "_chain").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.first("source_id").alias("source_id"), F.min("source_start").alias("source_start"))
-    return merged.select("doc_id", "text_key", "start", (F.col("start") + F.col("n") + (K - 1)).alias("end"), "source_id", "source_start")
+    chained = paths.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = chained.groupBy("doc_id", "text_key", "_chain").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("after"), F.first("source_id").alias("source_id"), F.min("source_start").alias("source_start"))
+    return merged.select("doc_id", "text_key", "start", (F.col("after") + (K - 1)).alias("end"), "source_id", "source_start")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
