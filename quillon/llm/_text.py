@@ -42,6 +42,9 @@ FOLDED_VALUE = BYTE_VALUE.copy()
 FOLDED_VALUE[ord("A") : ord("Z") + 1] = BYTE_VALUE[ord("a") : ord("z") + 1]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 BASE = int(stream(7, 1)[0]) | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -116,10 +119,10 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0] if len(texts) else np.zeros(1, dtype=np.int64)
 
 
-def split(texts: pa.Array, fold: bool = False) -> Words:
-    """Words of every text; fold lower-cases A-Z for the hashes."""
+def split(texts: pa.Array, fold: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words of every text, between bytes of space; fold lower-cases A-Z for the hashes."""
     buf, off = raw(texts)
-    word = ~SPACE[buf]
+    word = ~space[buf]
     start, end = word.copy(), word.copy()
     if len(buf):
         start[1:] &= ~word[:-1]
@@ -147,7 +150,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield lo, len(sizes)
 
 
-def mapper(fn: Callable[..., Iterator[dict]], schema: pa.Schema, text: str = "text", fold: bool | None = False):
+def mapper(fn: Callable[..., Iterator[dict]], schema: pa.Schema, text: str = "text", fold: bool | None = False, space: np.ndarray = SPACE):
     """A function for mapInArrow: fn(rows, words) gives column dicts for each slice of rows.
 
     words is None if fold is None.  Columns must come in the schema's order.
@@ -158,7 +161,7 @@ def mapper(fn: Callable[..., Iterator[dict]], schema: pa.Schema, text: str = "te
             at = batch.schema.get_field_index(text)
             for lo, hi in slices(batch.column(at)):
                 rows = batch.slice(lo, hi - lo)
-                for out in fn(rows, None if fold is None else split(rows.column(at), fold)):
+                for out in fn(rows, None if fold is None else split(rows.column(at), fold, space)):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
     return run

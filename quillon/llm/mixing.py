@@ -128,10 +128,10 @@ def realised(docs: DataFrame, **settings) -> DataFrame:
 
     A document that the mix leaves out, or that has no words, is not returned.
     """
-    m = mix(docs, **settings).where("copies > 0 and size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    own = docs.withColumn("_w", n_words(F.col("text")))
-    again = own.join(m, own["doc_id"].eqNullSafe(m["_id"]) & (own["_w"] == m["_size"]))
-    return again.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    m = mix(docs, **settings).where("copies > 0 and size > 0").groupBy(F.col("doc_id").alias("__quillon_id"), F.col("size").alias("__quillon_size")).agg(F.max("copies").cast("int").alias("__quillon_copies"))
+    own = docs.withColumn("__quillon_words", n_words(F.col("text")))
+    again = own.join(m, F.col("doc_id").eqNullSafe(F.col("__quillon_id")) & (F.col("__quillon_words") == F.col("__quillon_size")))
+    return again.withColumn("__quillon_i", F.explode(F.sequence(F.lit(1), F.col("__quillon_copies")))).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

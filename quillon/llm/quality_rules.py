@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as tx
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "longest_word"]
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((m, pa.int64()) for m in MEASURES)])
+#: Prefix of columns that are put beside a caller's own.
+OWN = "__quillon_"
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
 
@@ -81,9 +84,9 @@ def measure(rows: pa.RecordBatch, w: tx.Words) -> Iterator[dict]:
     }
 
 
-def rules() -> dict[str, Column]:
+def rules(prefix: str = "") -> dict[str, Column]:
     """Rule name to failure condition over the measurements; a rule's place is its bit."""
-    c = F.col
+    c = lambda name: F.col(prefix + name)
     return {
         "few_words": c("n_words") < 50,
         "repeated_words": 100 * c("n_repeat_words") > 50 * c("n_words"),
@@ -132,6 +135,31 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
     return row.select(F.inline(each))
 
 
+def accepted(docs: DataFrame, policy: str = "web.v1") -> DataFrame:
+    """The rows of docs that the policy doesn't reject, with all their columns.
+
+    The measurements are taken beside the rows' own columns, so no join is needed.
+    """
+    names = [f.name for f in docs.schema]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for lo, hi in tx.slices(batch.column(at)):
+                rows = batch.slice(lo, hi - lo)
+                w = tx.split(rows.column(at))
+                ids = pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64())], ["doc_id"])
+                m = next(measure(ids, w))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m[k], pa.int64()) for k in MEASURES)], [*names, *(f"{OWN}{k}" for k in MEASURES)])
+
+    measured = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(judge, T.StructType([*docs.schema.fields, *(T.StructField(f"{OWN}{m}", T.LongType()) for m in MEASURES)]))
+    failed = {name: cond for name, cond in rules(OWN).items() if name in POLICIES[policy]}
+    keep = F.lit(True)
+    for cond in failed.values():
+        keep = keep & ~cond
+    return measured.where(keep).select(*names)
+
+
 def digest(docs: DataFrame, policy: str = "web.v1") -> DataFrame:
     """The ledger with the base verdict and the policy's."""
     base = ~verdict("base.v1")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, quality_rules, substring_dedup
+from . import embedding_dedup, jaccard_join, mixing, packing, quality_rules, secrets, substring_dedup, token_counts, toxicity, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_docs(spark, sf_dir))
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_docs(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_docs(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_docs(spark, sf_dir))
 
@@ -25,12 +41,31 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(_docs(spark, sf_dir))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_docs(spark, sf_dir))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op6_quality_rules, op7_ngram_jaccard_join, op10_substring_dedup]
+    found = [
+        op1_mix_sources,
+        op2_toxicity_chain,
+        op3_warc_round_trip,
+        op4_secret_scan,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_ngram_jaccard_join,
+        op8_best_fit_packing,
+        op9_embedding_near_dedup,
+        op10_substring_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
