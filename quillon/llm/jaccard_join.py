@@ -13,8 +13,9 @@ shingles: a document within distance r shares one of the first floor(r|x|) + 1.
 2. A second pass deals (region, class, size, place) out in columnar blocks.  A region of
    a few classes compares all its pairs that size and place allow.  In a larger region
    the pivots are documents: all members are compared with a pivot of their size range.
-3. Pairs are verified exactly: shingle sets are shipped once for each pair's smaller side.
-   The links give components.  A large region whose members are in several components is
+3. A sketch of each set (the parities of its shingles in about |x| bins) bounds the
+   symmetric difference of a pair from below; pairs whose bound rules a link out go.  The
+   others are verified exactly on their shingle sets.  The links give components.  A large region whose members are in several components is
    joined again, recursively: pairs of two components whose distances to the first pivot
    differ by at most r (the window) are compared with the next pivots, or all at once
    when they are few, until the region is one component or no pair is left.
@@ -47,10 +48,12 @@ SHINGLE, PERCENT = 4, 85
 FREQUENT = 1 << 18
 #: Distinct shingles a task counts at a time, and the count from which one is frequent there.
 COUNTED, LOCALLY_FREQUENT = 1 << 22, 3
-#: Regions of so many classes compare all pairs; larger ones use so many pivots a round.
-SMALL, PIVOTS = 12, 8
+#: Regions of so many classes compare all pairs; larger ones use so many pivots in the first round, twice as many in each next one.
+SMALL, PIVOTS = 64, 8
+#: Document ids up to which a list of them is broadcast; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
-PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+PROFILE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 PAIRS = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
 
 
@@ -84,6 +87,28 @@ def digests(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def sketches(flat: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Parities of each set's hashes in a power of two of bins, at least as many as its size."""
+    n = np.diff(off)
+    bits = np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(1 << bits)])
+    mask = np.repeat((1 << bits).astype(tx.U64) - tx.U64(1), n)
+    at = np.repeat(base[:-1], n) + (tx.mix64(flat ^ tx.stream(23, 1)) & mask).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=base[-1]) & 1, bitorder="little").tobytes()
+    return [packed[a >> 3 : b >> 3] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound on the symmetric difference of two sets, from their sketches."""
+    a, b = np.frombuffer(x, tx.U64), np.frombuffer(y, tx.U64)
+    while len(a) != len(b):  # the parities of half as many bins
+        if len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 class Counter:
     """Counts of hashes in bounded memory: those seen once go first when it is full."""
 
@@ -128,7 +153,7 @@ def profile(k: int):
                     seen.add(d)
                     new[i] = True
             counter.add(flat[np.repeat(new, np.diff(off))])
-            yield {"kind": np.zeros(len(rows), np.int32), "doc_id": rows.column("doc_id"), "n": np.diff(off), "d1": d1, "d2": d2}
+            yield {"kind": np.zeros(len(rows), np.int32), "doc_id": rows.column("doc_id"), "n": np.diff(off), "d1": d1, "d2": d2, "sketch": sketches(flat, off)}
 
         yield from tx.mapper(rows_of, PROFILE, fold=True)(batches)
         counter.merge()
@@ -137,7 +162,7 @@ def profile(k: int):
         for lo in range(0, len(key), 1 << 16):
             some = key[lo : lo + (1 << 16)]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), none, pa.array(n[lo : lo + len(some)].astype(np.int64)), pa.array(tx.signed(some)), none], schema=PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), none, pa.array(n[lo : lo + len(some)].astype(np.int64)), pa.array(tx.signed(some)), none, pa.nulls(len(some), pa.binary())], schema=PROFILE)
 
     return run
 
@@ -343,7 +368,7 @@ def next_pairs(percent: int, turn: int):
         # few left outside the largest component: all their pairs at once, else the next pivots
         roots, count = np.unique(root, return_counts=True)
         outside = np.flatnonzero(root != roots[np.argmax(count)])
-        chosen = outside if len(outside) <= 4 * PIVOTS else everyone[(place >= turn * PIVOTS) & (place < (turn + 1) * PIVOTS)]
+        chosen = outside if len(outside) <= 4 * PIVOTS else everyone[(place >= PIVOTS * ((1 << turn) - 1)) & (place < PIVOTS * ((2 << turn) - 1))]
         return np.concatenate([np.empty((2, 0), np.int64), *(against(i, everyone) for i in chosen)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,9 +404,10 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
         found = saved(self.docs.mapInArrow(profile(self.k), _ddl(PROFILE)), "jaccard-profile")
         self.profiles = found.where("kind = 0").drop("kind")
+        self.sets: DataFrame | None = None
         self.frequent = found.where("kind = 1")
         usable = self.profiles.where("n > 0 and doc_id is not null")
-        self.classes = saved(usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
+        self.classes = saved(usable.groupBy("d1", "d2", "n", "sketch").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
 
     def _order(self):
         """Frequent shingles and their rank by count; at most FREQUENT of them, broadcast."""
@@ -398,17 +424,45 @@ class Join:
         two = one.join(reps.withColumnsRenamed({"d1": "y", "rep": "rb"}), "y")
         return two.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, both, either) for pairs of representatives."""
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that the sketches don't rule out."""
+        sketch = self.classes.select("rep", "n", "sketch")
+        one = pairs.join(sketch.withColumnsRenamed({"rep": "a", "n": "na", "sketch": "sa"}), "a")
+        two = one.join(sketch.withColumnsRenamed({"rep": "b", "n": "nb", "sketch": "sb"}), "b")
+        percent = self.percent
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, na, nb = (np.asarray(batch.column(k)) for k in range(4))
+                most = na + nb - 2 * least_overlap(na, nb, percent)
+                least = np.fromiter((least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5))), np.int64, len(batch))
+                ok = least <= most
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+        return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(keep, "a long, b long")
+
+    def _ship(self, pairs: DataFrame) -> DataFrame:
+        """The shingle sets of all documents in pairs."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         reps = self.classes.select(F.col("rep").alias("doc_id"), "d1")
         wanted = saved(ids.join(reps, ids["id"] == reps["doc_id"]).select("doc_id", "d1"), "jaccard-ids")
         marks = bl.id_bitmap(wanted, "doc_id")
         keyed = self.docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
         sets = keyed.mapInArrow(needed_sets(self.k, marks), _ddl(SETS)).join(wanted, ["doc_id", "d1"]).groupBy("doc_id").agg(F.first("hashes").alias("hashes"))
-        sets = saved(sets, "jaccard-sets")
-        left = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "ha"}), "a")
-        both = left.join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "hb"}), "b")
+        return saved(sets, "jaccard-sets")
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, both, either) for those pairs of representatives that can link."""
+        pairs = saved(self._possible(pairs), "jaccard-possible")
+        if self.sets is None:
+            self.sets = self._ship(pairs)
+        else:
+            ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+            missing = ids.join(self.sets, ids["id"] == self.sets["doc_id"], "left_anti")
+            if not missing.isEmpty():
+                self.sets = self.sets.union(self._ship(missing.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+        left = pairs.join(self.sets.withColumnsRenamed({"doc_id": "a", "hashes": "ha"}), "a")
+        both = left.join(self.sets.withColumnsRenamed({"doc_id": "b", "hashes": "hb"}), "b")
         return both.select("a", "b", "ha", "hb").mapInArrow(intersect, _ddl(VERIFIED))
 
     def _linked(self, verified: DataFrame) -> DataFrame:
@@ -419,8 +473,8 @@ class Join:
         bits = bl.buckets_for(self.spark)
         blocks = self.docs.mapInArrow(regions(self.k, self.percent, bits, self._order()), bl.BLOCK_DDL)
         found = saved(bl.dealt(blocks, bits).mapInArrow(compare(self.percent), _ddl(PAIRS)), "jaccard-pairs")
-        pairs = saved(self._to_reps(found.where("kind = 0")), "jaccard-pairs")
-        verified = saved(self._verify(pairs), "jaccard-verified")
+        tried = saved(self._to_reps(found.where("kind = 0")), "jaccard-pairs")
+        verified = saved(self._verify(tried), "jaccard-verified")
         roots = components(self._linked(verified).select(F.col("a").alias("u"), F.col("b").alias("v")))
         reps = self.classes.select(F.col("d1").alias("y"), F.col("rep").alias("node"))
         large = saved(found.where("kind = 1").dropDuplicates(["x", "y"]).join(reps, "y").select(F.col("x").alias("region"), "node", "n"), "jaccard-regions")
@@ -428,17 +482,19 @@ class Join:
         while True:
             rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             open_ = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g"), F.min_by("node", F.xxhash64("node")).alias("hub")).where("lo < hi")
-            open_ = open_.where(F.col("g") > turn * PIVOTS)
+            open_ = open_.where(F.col("g") > PIVOTS * ((1 << turn) - 1))
             rows = rooted.join(open_.select("region", "hub"), "region")
             known = verified.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both", "either").union(verified.select("b", "a", "both", "either"))
             rows = rows.join(known, ["hub", "node"], "left").select("region", "node", "n", "root", F.coalesce("both", F.lit(0)).alias("both"), F.coalesce("either", F.lit(0)).alias("either"))
+            rows = saved(rows, "jaccard-open")
+            if rows.isEmpty():
+                return self._linked(verified), roots
             more = rows.repartition("region").sortWithinPartitions("region").mapInArrow(next_pairs(self.percent, turn), "a long, b long").distinct()
-            more = saved(more.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+            more = saved(more.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
             turn += 1
             if more.isEmpty():
-                if open_.isEmpty():
-                    return self._linked(verified), roots
                 continue
+            tried = tried.union(more)
             verified = saved(verified.union(self._verify(more)), "jaccard-verified")
             roots = components(self._linked(verified).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -449,9 +505,9 @@ class Join:
         cls = saved(cls, "jaccard-roots")
         # classes with over a thousandth of the rows are fewer than a thousand: broadcast them, join the others
         floor = self.profiles.count() // 1000
-        keys = ["d1", "d2", "n"]
+        keys = ["d1", "d2", "n"]  # the sketch follows from the set
         hot = cls.where(F.col("copies") > floor + 1).select(*keys, F.col("component_id").alias("hot_id"))
-        rows = self.profiles.join(F.broadcast(hot), keys, "left")
+        rows = self.profiles.drop("sketch").join(F.broadcast(hot), keys, "left")
         out = rows.where("hot_id is not null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("hot_id")).alias("component_id"))
         cold = rows.where("hot_id is null").join(cls.where(F.col("copies") <= floor + 1).drop("copies"), keys, "left")
         out = out.union(cold.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))))
@@ -464,6 +520,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that a smaller doc_id of their component replaces."""
-    kept = Join(docs, shingle, percent).membership().where("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """docs without the documents that a smaller doc_id of their component replaces.
+
+    Rows without doc_id or without words stay.
+    """
+    gone = Join(docs, shingle, percent).membership().where("component_id < doc_id").select(F.col("doc_id").alias("__quillon_gone")).distinct()
+    gone = saved(gone, "jaccard-gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__quillon_gone"), "left_anti")
