@@ -224,7 +224,7 @@ def file_stem(citation: Column) -> Column:
     #: Letters and their ASCII forms.
     plain = F.translate(F.lower(citation), "áéíóúýöðäøåü", "aeiouyodaoau")
     plain = F.replace(F.replace(plain, F.lit("þ"), F.lit("th")), F.lit("æ"), F.lit("ae"))
-    return F.trim(F.lit("-"), F.regexp_replace(plain, "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def language(text: Column, default: str = "is") -> Column:
@@ -232,7 +232,8 @@ def language(text: Column, default: str = "is") -> Column:
     #: Function words of the two languages.
     words = {"is": ["og", "að", "er", "sem", "ekki", "því", "við", "um", "það", "til"], "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "not"]}
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    n = {k: F.size(F.filter(tokens, lambda t, v=v: t.isin(v))) for k, v in words.items()}
+    among = lambda listed: F.size(F.filter(tokens, lambda t: t.isin(listed)))
+    n = {k: among(listed) for k, listed in words.items()}
     return F.when(F.greatest(n["is"], n["en"]) < 3, default).when(n["en"] > n["is"], "en").when(n["is"] > n["en"], "is").otherwise(default)
 
 

@@ -266,7 +266,8 @@ class _Sentences:
         self.starts = [0, *(m.end() for m in BREAK.finditer(text))]
 
     def start(self, at: int) -> int:
-        return self.starts[bisect.bisect_right(self.starts, at) - 1]
+        """The last start before at; a number after an abbreviation's period opens no sentence."""
+        return self.starts[max(0, bisect.bisect_left(self.starts, at) - 1)]
 
 
 def _owner(number: str, court: str) -> str:
