@@ -78,9 +78,9 @@ def long_date(day: Column) -> Column:
 
 
 def ruling_citation(court: Column, number: Column, day: Column, verdict: Column) -> Column:
-    """Court, number and date, then the verdict type after a dash; missing parts drop out."""
+    """As in Hrd. 25/2020 5. maí 2020 – Dómur; missing parts drop out."""
     blank = lambda c: F.nullif(c, F.lit(""))
-    head = F.concat_ws(" ", blank(court), blank(number), F.when(day.isNotNull(), F.concat(F.lit("("), long_date(day), F.lit(")"))))
+    head = F.concat_ws(" ", blank(court), blank(number), long_date(day))
     return F.concat(head, F.coalesce(F.concat(F.lit(" – "), blank(verdict)), F.lit("")))
 
 

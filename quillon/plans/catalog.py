@@ -468,8 +468,8 @@ def anchor_label(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, concat_ws(' ', court, case_number, CASE WHEN document_date IS NOT NULL THEN '(' || day(document_date) || '. ' ||
-    ['janúar', 'febrúar', 'mars', 'apríl', 'maí', 'júní', 'júlí', 'ágúst', 'september', 'október', 'nóvember', 'desember'][month(document_date)] || ' ' || year(document_date) || ')' END) || coalesce(' – ' || verdict_type, '') AS citation FROM (""" + fx.RULINGS + ")"
+    """SELECT doc_id, concat_ws(' ', court, case_number, CASE WHEN document_date IS NOT NULL THEN day(document_date) || '. ' ||
+    ['janúar', 'febrúar', 'mars', 'apríl', 'maí', 'júní', 'júlí', 'ágúst', 'september', 'október', 'nóvember', 'desember'][month(document_date)] || ' ' || year(document_date) END) || coalesce(' – ' || verdict_type, '') AS citation FROM (""" + fx.RULINGS + ")"
 )
 def citation_string(spark, sf_dir):
     c = F.col

@@ -373,3 +373,22 @@ def test_incremental_rebuild(spark, docs, tmp_path):
 
 def test_catalog_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.oracle_sql()) >= 50
+
+
+def test_document_detail_and_audit(spark, docs, passages):
+    from quillon.operators import detail
+
+    rows = [("a", "body", 3, 10, "Krafa", "Lrd.", "1/2020", None, None, "prose", "resolved", "c", "casenum_unique", 0.8), ("a", "summary", 1, 5, "x", "Lrd.", "1/2020", None, None, "prose", "resolved", "c", "casenum_unique", 0.8), ("a", "body", 20, 25, "y", "Hrd.", "9/2020", None, None, "prose", "unresolved", None, None, None), ("d", "body", 0, 5, "z", "Lrd.", "1/2020", None, None, "prose", "resolved", "a", "casenum_date", 1.0)]
+    citations = spark.createDataFrame(rows, f"{schema.CITATIONS}, {schema.RESOLUTIONS}")
+    links = spark.createDataFrame([("a", "c", "appealed_to", 1.0, "casenum"), ("a", "c", "cites", 0.8, "citation")], schema.LINKS)
+    d = detail.document(docs, links, citations, passages, "a")
+    assert d.row.first().citation == "Hrd. 1/2020 1. janúar 2021 – Dómur"
+    assert [(r.other, r.relation) for r in d.links.collect()] == [("c", "appealed_to")]
+    assert [(r.other, r.layer, r.also_appeal, r.ordinal) for r in d.outgoing.collect()] == [("c", "body", True, 0)]
+    assert [r.other for r in d.incoming.collect()] == ["d"] and d.unresolved.first().n == 1
+    checked = {r.to_doc_id: r for r in detail.audit(citations, docs).where("layer = 'body'").collect()}
+    assert checked["c"].court_ok and not checked["c"].number_ok and checked["c"].order_ok and checked["c"].span_ok
+    assert detail.compact(docs).columns == ["doc_id", "citation", "keywords", "summary"]
+    one = spark.createDataFrame([("eitt tvö þrjú",)], "t string").select(detail.short(F.col("t"), 9).alias("s"), detail.date_precision(F.lit("x"), F.lit('{"date_precision": "year"}'), ["x"]).alias("p"), detail.date_precision(F.lit("z"), F.lit("{}"), ["x"]).alias("n")).first()
+    assert tuple(one) == ("eitt tvö…", "year", None)
+    assert detail.golden_candidates(passages, docs, 5, 2000, 1).count() == 3
