@@ -32,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, charset: str = "utf-8") -> DataFrame:
     """path and html of landed pages, one row for each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit(charset)).alias("html"))
+    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", charset).alias("html"))
 
 
 def read_statutes(spark: SparkSession, path: str) -> DataFrame:
