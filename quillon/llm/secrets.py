@@ -1,6 +1,7 @@
 """Secret scan: pattern candidates, and a random forest that removes false positives.
 
-A candidate is a run of key characters that is long enough and holds a digit.  The
+A candidate is a run of key characters that is long enough and holds a digit or begins
+with a known prefix.  The
 forest sees its length, its characters' kinds and transitions, how much of it dictionary
 words cover, whether it stands in a path, and the words next to it.  It is trained from
 labelled findings: value, before, after, label.  Without findings of one's own,
@@ -24,8 +25,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A maximal run of 16 or more key characters with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}"
+#: A maximal run of 16 or more key characters with a digit in it, or with a known prefix.
+CANDIDATE = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/\-]*+[0-9]|AKIA|ASIA|gh[pos]_|glpat-|sk_live_|xox[abp]-)[A-Za-z0-9_+/\-]{16,}+={0,2}"
 BEFORE, AFTER = 48, 16
 TRUE_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer|aws)[^\n]{0,24}$"
 FALSE_WORDS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|build|revision|example|sample|dummy|order|invoice|card|phone|isbn|version)[^\n]{0,24}$"
