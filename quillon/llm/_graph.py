@@ -16,7 +16,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour (or itself) to its larger neighbours."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return _oriented(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return both.where("v > u").join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u > v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -32,12 +32,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round ends in the shared folder.  Rounds grow with the logarithm of the longest
     path; the driver sees a count and a checksum only.
     """
-    now = saved(_oriented(edges), "edges")
+    now = saved(_oriented(edges), "edges", narrow=True)
     mark = None
     while True:
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if found == mark or not found[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, before = found, now
-        now = saved(_small_star(_large_star(now)), "edges")
+        now = saved(_small_star(_large_star(now)), "edges", narrow=True)
         dropped(before)
+
+
+def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after more edges: only what they join is worked on again."""
+    over = edges.join(roots.withColumnsRenamed({"node": "u", "root": "_u"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "_v"}), "v", "left")
+    top = components(over.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")))
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return saved(moved.union(top), "roots", narrow=True)

@@ -21,9 +21,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: short lineage that outlives executors."""
+def saved(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: short lineage that outlives executors.
+
+    A narrow frame (ids, pairs, labels) is written by an eighth of the shuffle partitions.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

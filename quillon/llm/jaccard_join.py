@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _blocks as bl
 from . import _text as tx
-from ._graph import components
+from ._graph import components, joined_components
 from ._io import saved
 
 SHINGLE, PERCENT = 4, 85
@@ -48,8 +48,10 @@ SHINGLE, PERCENT = 4, 85
 FREQUENT = 1 << 18
 #: Distinct shingles a task counts at a time, and the count from which one is frequent there.
 COUNTED, LOCALLY_FREQUENT = 1 << 22, 3
-#: Regions of so many classes compare all pairs; larger ones use so many pivots in the first round, twice as many in each next one.
-SMALL, PIVOTS = 64, 8
+#: Regions of so many classes compare all pairs; in larger ones a member left out tries so many nearest others in the first round, twice as many in each next one.
+SMALL, NEAREST = 64, 8
+#: Members of a large region that meet in a task: those of one block, or of two.
+BLOCK = 4096
 #: Document ids up to which a list of them is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -286,7 +288,7 @@ def compare(percent: int):
     return run
 
 
-def pivot_order(cls: np.ndarray, turn: int = 0) -> np.ndarray:
+def pivot_order(cls: np.ndarray) -> np.ndarray:
     """The order in which members of a region serve as pivots, the same in every region."""
     return np.argsort(tx.mix64(cls.view(tx.U64) ^ tx.U64(0x5EED)), kind="stable")
 
@@ -342,53 +344,89 @@ def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0]), pa.array(out[1])], schema=VERIFIED)
 
 
-def next_pairs(percent: int, turn: int):
-    """mapInArrow function over unresolved regions: the pairs of this turn.
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with the parities of fewer bins."""
+    while x.shape[1] > words:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+OPEN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
-    Rows (region, node, n, root, both, either) of a region come together; root is the
-    node's component, both / either its similarity to the region's first pivot if known.
-    """
 
-    def emit(cols: list[np.ndarray]) -> np.ndarray:
-        node, n, root, both, either = cols
-        if (root == root[0]).all():
-            return np.empty((2, 0), np.int64)
-        place = np.empty(len(node), np.int64)
-        place[pivot_order(node)] = np.arange(len(node))
-        far = np.where(either > 0, 1 - both / np.maximum(either, 1), -1.0)
-        r = 1 - percent / 100 + 1e-9
-
-        def against(i: int, others: np.ndarray) -> np.ndarray:
-            ok = others[(root[others] != root[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            if far[i] >= 0:  # the triangle inequality's window around the first pivot
-                ok = ok[(far[ok] < 0) | (np.abs(far[ok] - far[i]) <= r)]
-            return np.stack([np.minimum(node[ok], node[i]), np.maximum(node[ok], node[i])])
-
-        everyone = np.arange(len(node))
-        # few left outside the largest component: all their pairs at once, else the next pivots
-        roots, count = np.unique(root, return_counts=True)
-        outside = np.flatnonzero(root != roots[np.argmax(count)])
-        chosen = outside if len(outside) <= 4 * PIVOTS else everyone[(place >= PIVOTS * ((1 << turn) - 1)) & (place < PIVOTS * ((2 << turn) - 1))]
-        return np.concatenate([np.empty((2, 0), np.int64), *(against(i, everyone) for i in chosen)], axis=1)
+def nearest(percent: int, turn: int):
+    """mapInArrow function over open regions: this turn's pairs (kind 0), and whether more are left (kind 1).
+
+    Rows (region, bi, bj, own, outside, node, n, root, sketch) of a region, or of two of its
+    blocks, come together.  Members that were outside the region's largest component at
+    first rank all members that size and sketch let them link with, nearest sketch first;
+    a turn takes the next ranks, twice as many as the last one, across components.
+    """
+    lo, hi = NEAREST * ((1 << turn) - 1), NEAREST * ((2 << turn) - 1)
+
+    def group(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, bool]:
+        own, outside, node, n, root = (np.concatenate([np.asarray(r.column(k)) for r in rows]) for k in range(3, 8))
+        across = rows[0].column(1)[0].as_py() != rows[0].column(2)[0].as_py()
+        raw = [x.as_py() for r in rows for x in r.column(8)]
+        order = np.argsort(node)  # ties rank alike in every turn
+        own, outside, node, n, root = own[order], outside[order], node[order], n[order], root[order]
+        raw = [raw[i] for i in order.tolist()]
+        words = np.array([len(x) // 8 for x in raw])
+        pairs, more = [np.empty((2, 0), np.int64)], False
+        by_size = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+        stacks = {w: np.frombuffer(b"".join(raw[i] for i in at), tx.U64).reshape(len(at), w) for w, at in by_size.items()}
+        for w, at in by_size.items():
+            seekers = np.flatnonzero(outside[at])
+            others = [v for v in (w // 2, w, 2 * w) if v in by_size]
+            everyone = np.concatenate([by_size[v] for v in others])
+            step = max(1, (1 << 20) // max(1, len(everyone)))
+            for k in range(0, len(seekers), step):
+                mine = seekers[k : k + step]
+                i = at[mine]
+                parts = []
+                for v in others:
+                    x, y = folded(stacks[w][mine], min(v, w)), folded(stacks[v], min(v, w))
+                    diff = np.zeros((len(x), len(y)), np.int64)
+                    for word in range(x.shape[1]):
+                        diff += np.bitwise_count(x[:, word][:, None] ^ y[:, word][None, :])
+                    parts.append(diff)
+                diff = np.concatenate(parts, axis=1)
+                need = least_overlap(n[i][:, None], n[everyone][None, :], percent)
+                ok = (need <= np.minimum(n[i][:, None], n[everyone][None, :])) & (diff <= n[i][:, None] + n[everyone][None, :] - 2 * need) & (node[i][:, None] != node[everyone][None, :])
+                if across:
+                    ok &= own[i][:, None] != own[everyone][None, :]
+                diff[~ok] = np.iinfo(np.int64).max
+                count = ok.sum(axis=1)
+                # only seekers with a partner in another component go on
+                live = np.flatnonzero((count > lo) & (ok & (root[i][:, None] != root[everyone][None, :])).any(axis=1))
+                for r in live.tolist():
+                    order = np.argsort(diff[r], kind="stable")[lo : min(hi, count[r])]
+                    j = everyone[order]
+                    j = j[root[j] != root[i[r]]]
+                    pairs.append(np.stack([np.minimum(node[j], node[i[r]]), np.maximum(node[j], node[i[r]])]))
+                more = more or bool((count[live] > hi).any())
+        return np.unique(np.concatenate(pairs, axis=1), axis=1), more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            pairs = np.unique(emit([np.concatenate(c) for c in zip(*rows)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], names=["a", "b"])
+        def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs, more = group(rows)
+            kind = np.zeros(pairs.shape[1] + more, np.int32)
+            kind[pairs.shape[1] :] = 1
+            cols = [np.concatenate([p, np.zeros(int(more), np.int64)]) for p in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], schema=OPEN)
 
         now, held = None, []
         for batch in batches:
-            name = np.asarray(batch.column(0))
-            cols = [np.asarray(batch.column(k)) for k in range(1, 6)]
-            cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi == lo:
+            key = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b == a:
                     continue
-                if held and name[lo] != now:
+                if held and tuple(key[a]) != now:
                     yield from out(held)
                     held = []
-                now = name[lo]
-                held.append([c[lo:hi] for c in cols])
+                now = tuple(key[a])
+                held.append(batch.slice(a, b - a))
         if held:
             yield from out(held)
 
@@ -445,15 +483,14 @@ class Join:
         """The shingle sets of all documents in pairs."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         reps = self.classes.select(F.col("rep").alias("doc_id"), "d1")
-        wanted = saved(ids.join(reps, ids["id"] == reps["doc_id"]).select("doc_id", "d1"), "jaccard-ids")
+        wanted = saved(ids.join(reps, ids["id"] == reps["doc_id"]).select("doc_id", "d1"), "jaccard-ids", narrow=True)
         marks = bl.id_bitmap(wanted, "doc_id")
         keyed = self.docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
         sets = keyed.mapInArrow(needed_sets(self.k, marks), _ddl(SETS)).join(wanted, ["doc_id", "d1"]).groupBy("doc_id").agg(F.first("hashes").alias("hashes"))
         return saved(sets, "jaccard-sets")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, both, either) for those pairs of representatives that can link."""
-        pairs = saved(self._possible(pairs), "jaccard-possible")
+        """(a, b, both, either) for pairs of representatives."""
         if self.sets is None:
             self.sets = self._ship(pairs)
         else:
@@ -473,36 +510,48 @@ class Join:
         bits = bl.buckets_for(self.spark)
         blocks = self.docs.mapInArrow(regions(self.k, self.percent, bits, self._order()), bl.BLOCK_DDL)
         found = saved(bl.dealt(blocks, bits).mapInArrow(compare(self.percent), _ddl(PAIRS)), "jaccard-pairs")
-        tried = saved(self._to_reps(found.where("kind = 0")), "jaccard-pairs")
-        verified = saved(self._verify(tried), "jaccard-verified")
-        roots = components(self._linked(verified).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        reps = self.classes.select(F.col("d1").alias("y"), F.col("rep").alias("node"))
-        large = saved(found.where("kind = 1").dropDuplicates(["x", "y"]).join(reps, "y").select(F.col("x").alias("region"), "node", "n"), "jaccard-regions")
-        turn = 0
-        while True:
-            rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g"), F.min_by("node", F.xxhash64("node")).alias("hub")).where("lo < hi")
-            open_ = open_.where(F.col("g") > PIVOTS * ((1 << turn) - 1))
-            rows = rooted.join(open_.select("region", "hub"), "region")
-            known = verified.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both", "either").union(verified.select("b", "a", "both", "either"))
-            rows = rows.join(known, ["hub", "node"], "left").select("region", "node", "n", "root", F.coalesce("both", F.lit(0)).alias("both"), F.coalesce("either", F.lit(0)).alias("either"))
-            rows = saved(rows, "jaccard-open")
-            if rows.isEmpty():
-                return self._linked(verified), roots
-            more = rows.repartition("region").sortWithinPartitions("region").mapInArrow(next_pairs(self.percent, turn), "a long, b long").distinct()
-            more = saved(more.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        first = saved(self._possible(self._to_reps(found.where("kind = 0"))), "jaccard-pairs", narrow=True)
+        verified = saved(self._verify(first), "jaccard-verified", narrow=True)
+        edges = lambda rows: self._linked(rows).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = components(edges(verified))
+        regions_ = self._large(found.where("kind = 1"), roots)
+        links, turn, more = self._linked(verified), 0, True
+        while more:
+            # a region that is one component by now is done
+            rooted = regions_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            open_ = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
+            rows = rooted.join(open_, "region", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows = rows.select("region", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "outside", "node", "n", "root", "sketch")
+            rows = rows.repartition("region", "bi", "bj").sortWithinPartitions("region", "bi", "bj")
+            got = saved(rows.mapInArrow(nearest(self.percent, turn), "kind int, a long, b long").distinct(), "jaccard-nearest", narrow=True)
+            pairs, more = got.where("kind = 0").select("a", "b"), not got.where("kind = 1").isEmpty()
+            if not pairs.isEmpty():
+                verified = saved(self._verify(pairs), "jaccard-verified", narrow=True)
+                links = links.union(self._linked(verified))
+                roots = joined_components(roots, edges(verified))
             turn += 1
-            if more.isEmpty():
-                continue
-            tried = tried.union(more)
-            verified = saved(verified.union(self._verify(more)), "jaccard-verified")
-            roots = components(self._linked(verified).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return links, roots
+
+    def _large(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of large regions in several components: region, node, n, sketch, outside, blocks, own.
+
+        outside tells who isn't in the region's largest component; the others are linked
+        among themselves already.
+        """
+        reps = self.classes.select(F.col("d1").alias("y"), F.col("rep").alias("node"))
+        rows = members.dropDuplicates(["x", "y"]).join(reps, "y").select(F.col("x").alias("region"), "node", "n")
+        rows = saved(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members", narrow=True)
+        sizes = rows.groupBy("region", "root").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("g"), F.count("*").alias("roots")).where("roots > 1")
+        rows = rows.join(sizes.select("region", "main", F.ceil(F.col("g") / F.lit(BLOCK)).cast("int").alias("blocks")), "region")
+        rows = rows.join(self.classes.select(F.col("rep").alias("node"), "sketch"), "node")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        return saved(rows.select("region", "node", "n", "sketch", (F.col("root") != F.col("main")).alias("outside"), "blocks", own.alias("own")), "jaccard-regions", narrow=True)
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         _, roots = self.links()
         cls = self.classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", "copies", F.coalesce("root", "rep").alias("component_id"))
-        cls = saved(cls, "jaccard-roots")
+        cls = saved(cls, "jaccard-roots", narrow=True)
         # classes with over a thousandth of the rows are fewer than a thousand: broadcast them, join the others
         floor = self.profiles.count() // 1000
         keys = ["d1", "d2", "n"]  # the sketch follows from the set
@@ -525,7 +574,7 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Rows without doc_id or without words stay.
     """
     gone = Join(docs, shingle, percent).membership().where("component_id < doc_id").select(F.col("doc_id").alias("__quillon_gone")).distinct()
-    gone = saved(gone, "jaccard-gone")
+    gone = saved(gone, "jaccard-gone", narrow=True)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__quillon_gone"), "left_anti")

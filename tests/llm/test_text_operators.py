@@ -184,8 +184,8 @@ def chained(n=40, seed=5):
     words = [f"c{i}" for i in range(200)]
     rows = []
     for i in range(n):
-        if i % 8 == 0:
-            words = words[:100] + [f"z{i}_{j}" for j in range(100)]
+        if i % 40 == 0:
+            words = words[:30] + [f"z{i}_{j}" for j in range(170)] if i < 120 else words[:190] + [f"z{i}_{j}" for j in range(10)]
         words = list(words)
         for _ in range(rng.randint(1, 4)):
             words[rng.randrange(len(words))] = f"n{i}_{rng.random()}"
@@ -195,7 +195,8 @@ def chained(n=40, seed=5):
 
 @pytest.mark.parametrize("seed", [5, 6])
 def test_jaccard_join_of_large_regions(spark, seed):
-    rows = chained(60, seed)
+    rows = chained(170, seed)
+    assert len(rows) > 2 * jaccard_join.SMALL
     sets, root = joined(rows, 4, 85)
     got = jaccard_join.digest(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i, _ in rows}
