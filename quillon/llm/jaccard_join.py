@@ -229,9 +229,20 @@ def compare(percent: int):
     """mapInArrow function over blocks: pairs to verify (kind 0) and members of large regions (kind 1)."""
 
     def may_link(n_a, p_a, n_b, p_b):
-        """Sizes and places allow a link whose first common shingle is this region's."""
+        """Sizes and places allow a link whose first common shingle is this region's.
+
+        No shingle before that one is shared, so the places add to the difference.
+        """
         need = least_overlap(n_a, n_b, percent)
-        return (need <= np.minimum(n_a, n_b)) & (np.minimum(n_a - p_a, n_b - p_b) >= need)
+        return (need <= np.minimum(n_a, n_b)) & (np.minimum(n_a - p_a, n_b - p_b) >= need) & (p_a + p_b <= n_a + n_b - 2 * need)
+
+    def in_reach(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Members of a region that may link with its member of the least place, at any size."""
+        least = np.full(len(p), p.min())
+        first = int(np.argmin(p))
+        least[first] = np.delete(p, first).min()
+        largest = 100 * n // percent
+        return p + least <= n + largest - 2 * least_overlap(n, largest, percent) + 2  # rounding may favour a smaller size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -272,7 +283,10 @@ def compare(percent: int):
                 found.append(np.stack([np.minimum(cls[i], cls[i + step]), np.maximum(cls[i], cls[i + step])]))
             members = []
             for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                c, s = cls[a : a + m], n[a : a + m]
+                near = in_reach(n[a : a + m], place[a : a + m])
+                c, s, m = cls[a : a + m][near], n[a : a + m][near], int(near.sum())
+                if m < 2:
+                    continue
                 name = int(tx.mix64(np.array([np.bitwise_xor.reduce(tx.mix64(c.view(tx.U64)))], tx.U64))[0].view(np.int64))
                 if name in done:
                     continue
