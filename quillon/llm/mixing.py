@@ -29,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, at most; a small corpus gets blocks small enough for so many slots.
 BLOCK_WORDS, LEAST_SLOTS = 32, 1 << 14
 BUCKETS = 1024
+#: Sources up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 CHUNK = 4096
 
 
@@ -71,7 +73,7 @@ def placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     # rows that agree in hash, id and size may change places, which changes nothing
     order = Window.partitionBy("source", "bucket").orderBy("_h", "doc_id", "size")
     own = mixed.withColumn("_in", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("row", F.row_number().over(order))
-    own = own.join(starts, F.col("source").eqNullSafe(F.col("_src")) & (F.col("bucket") == F.col("_bk")))
+    own = own.join(starts.hint("merge"), F.col("source").eqNullSafe(F.col("_src")) & (F.col("bucket") == F.col("_bk")))
     return own.withColumn("begin", F.col("_start") + F.col("_in")).drop("_h", "_src", "_bk", "_start", "_in")
 
 
@@ -84,7 +86,8 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ends = ends.withColumn("hi", F.when(F.row_number().over(Window.orderBy(F.col("rank").desc())) == 1, F.lit(2.0)).otherwise(F.col("hi")))
     steps = ends.agg(F.sort_array(F.collect_list(F.struct("rank", "lo", "hi"))).alias("steps"), F.ceil(F.sum("target") / F.lit(float(block_words))).alias("n"))
     chunks = steps.select("steps", "n", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(CHUNK)).cast("long")))).alias("chunk"))
-    chunks = chunks.repartition("chunk")
+    # a stated number: the few chunk rows would be put into one task, and grow there a thousandfold
+    chunks = chunks.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
     slots = chunks.select("steps", "chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n").cast("long") - 1, (F.col("chunk") + 1) * CHUNK - 1))).alias("slot"))
     # frac((slot + 1) * golden) by parts, so that large slots keep their precision
     x = F.pmod(F.col("chunk") * F.lit((CHUNK * GOLDEN) % 1.0) + (F.col("slot") - F.col("chunk") * CHUNK + 1) * F.lit(GOLDEN), F.lit(1.0))
@@ -94,7 +97,8 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     sums = slots.groupBy("rank", "chunk").count()
     before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rank", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(starts, ["rank", "chunk"]).select("rank", "slot", (F.col("_start") + F.col("_k")).alias("nth"))
+    # slots look as small as their chunks to the planner, which must not broadcast them
+    return numbered.join(starts.hint("merge"), ["rank", "chunk"]).select("rank", "slot", (F.col("_start") + F.col("_k")).alias("nth"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, block_words: int | None = None) -> DataFrame:
@@ -110,6 +114,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
         block_words = max(1, min(BLOCK_WORDS, total // LEAST_SLOTS))
     b = F.lit(block_words)
     blocks = plan.select("rank", F.ceil(F.col("source_size") / b).cast("long").alias("blocks"))
+    # what follows from the small plan looks small to the planner: say which side is
+    blocks = F.broadcast(blocks) if plan.count() <= BROADCAST_SOURCES else blocks.hint("merge")
     # join the slots to blocks: how often each block is taken, never above the cap
     picked = schedule(plan, block_words).join(blocks, "rank").where((F.col("blocks") > 0) & (F.col("nth") < F.lit(most) * F.col("blocks")))
     taken = picked.groupBy("rank", F.pmod("nth", "blocks").alias("block")).agg(F.count("*").alias("times"))
@@ -117,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     first, last = F.floor(F.col("begin") / b).cast("long"), F.floor((F.col("begin") + F.greatest("size", F.lit(1)) - 1) / b).cast("long")
     parts = at.withColumn("block", F.explode(F.sequence(first, last)))
     overlap = F.greatest(F.least((F.col("block") + 1) * b, F.col("begin") + F.col("size")) - F.greatest(F.col("block") * b, F.col("begin")), F.lit(0))
-    got = parts.withColumn("_o", overlap).join(taken, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    got = parts.withColumn("_o", overlap).join(taken.hint("merge"), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     keys = ["doc_id", "source", "size", "source_size", "target", "rank", "bucket", "row"]
     out = got.groupBy(*keys).agg(F.sum(F.col("_o") * F.col("times")).cast("long").alias("taken"), F.max(F.when(F.col("block") == first, F.col("times")).otherwise(0)).alias("copies"))
     return out.drop("rank", "bucket", "row")
