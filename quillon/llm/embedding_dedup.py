@@ -12,7 +12,7 @@ precision; only these can link.
 The index holds every vector.  The bits in a slice follow the number of distinct vectors
 so that buckets stay near BUCKET rows, and the number of tables follows from the wanted
 chance that a pair right at the threshold shares a bucket (pairs above it find each other
-more often).  Equal vectors are one class with a multiplicity.  A bucket of more than
+more often).  Tables whose slices don't fit the code take the signs under fresh rotations.  Equal vectors are one class with a multiplicity.  A bucket of more than
 BLOCK rows is cut into blocks that are compared in pairs, so no task holds more than two
 blocks; nothing is capped.  Tasks report counts and a spanning forest, never all pairs.
 
@@ -49,13 +49,13 @@ def code_bits(dim: int) -> int:
     return max(LEAST_BITS, 1 << (dim - 1).bit_length() if dim > 1 else 1)
 
 
-def rotate(x: np.ndarray) -> np.ndarray:
-    """Rows of x, padded with zeros to a power of two, under a fixed random rotation."""
+def rotate(x: np.ndarray, group: int = 0) -> np.ndarray:
+    """Rows of x, padded with zeros to a power of two, under the group's fixed random rotation."""
     bits = code_bits(x.shape[1])
     y = np.zeros((len(x), bits))
     y[:, : x.shape[1]] = x
     for turn in range(3):
-        y *= np.where(tx.stream(1000 + turn, bits) >> tx.U64(63), -1.0, 1.0)
+        y *= np.where(tx.stream(1000 + 3 * group + turn, bits) >> tx.U64(63), -1.0, 1.0)
         step = 1
         while step < bits:
             z = y.reshape(len(y), -1, 2, step)
@@ -129,12 +129,31 @@ INDEX_DDL = "rep long, dim int, copies long, code binary, factor double, vec bin
 
 
 def slices_of(code: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """The bits of each table's slice of the codes: rows by tables."""
+    """The bits of each table's own slice of the codes: rows by tables."""
     flat = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")
-    at = (np.arange(tables * bits) % flat.shape[1]).reshape(tables, bits)
+    at = np.arange(tables * bits).reshape(tables, bits)
     return (flat[:, at].astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
+def slots_of(x: np.ndarray, code: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """The slot of each vector in each table: rows by tables.
+
+    A code has room for some slices; the tables beyond take theirs from the signs under
+    fresh rotations, so no bit keys two tables.
+    """
+    room = code.shape[1] * 64 // bits
+    out = np.empty((len(x), tables), np.int64)
+    out[:, :room] = slices_of(code, min(tables, room), bits)
+    for lo in range(0, len(x) if tables > room else 0, 1024):
+        part = x[lo : lo + 1024]
+        unit = part / np.linalg.norm(part, axis=1)[:, None]
+        for group in range(1, -(-tables // room)):
+            signs = np.packbits(rotate(unit, group) >= 0, axis=1, bitorder="little").view(tx.U64)
+            first = group * room
+            out[lo : lo + 1024, first : first + room] = slices_of(signs, min(tables - first, room), bits)
+    return out
+
+
 def indexer(tables: int, bits: int):
     """mapInArrow function: a row for each class and table."""
 
@@ -151,7 +170,7 @@ def indexer(tables: int, bits: int):
                     exact = single if (single.astype(np.float64) == x).all() else x
                     vec = [v.tobytes() for v in exact]
                     codes = [c.tobytes() for c in code]
-                    slot = slices_of(code, tables, bits)
+                    slot = slots_of(x, code, tables, bits)
                     for t in range(tables):
                         cols = [part.column(0), part.column(1), part.column(2), pa.array(codes, pa.binary()), pa.array(factor), pa.array(vec, pa.binary()), pa.array(np.full(len(part), t, np.int32)), pa.array(slot[:, t])]
                         yield pa.RecordBatch.from_arrays(cols, schema=INDEX)
@@ -188,7 +207,7 @@ def linker(tables: int, bits: int, threshold: float):
         rep, copies, factor = (table.column(c).to_numpy() for c in ("rep", "copies", "factor"))
         code = np.frombuffer(b"".join(table.column("code").to_pylist()), tx.U64).reshape(len(rep), -1)
         x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in table.column("vec").to_pylist()])
-        slot = slices_of(code, tab + 1, bits)
+        slot = slots_of(x, code, tab + 1, bits)
         found_i, found_j = [], []
         step = max(1, (1 << 20) // max(1, len(rep)))
         for lo in range(0, len(rep), step):

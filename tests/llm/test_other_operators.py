@@ -277,6 +277,31 @@ def test_near_duplicate_recall_at_production_settings():
     assert (a == b).any(axis=1).mean() >= 0.95
 
 
+@pytest.mark.parametrize("n", [20_000_000, 24_000_000, 50_000_000, 100_000_000])
+def test_near_duplicate_recall_on_large_tables(n):
+    """More slices than a code has room for: every table keeps a slice of its own."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = 0.9 * x + math.sqrt(1 - 0.9**2) * z
+    tables, bits = embedding_dedup.shape(n)
+    assert tables * bits > embedding_dedup.code_bits(64)
+    a, b = (embedding_dedup.slots_of(v, embedding_dedup.encode(v)[1], tables, bits) for v in (x, y))
+    assert len(np.unique(a, axis=1).T) == tables
+    assert (a == b).any(axis=1).mean() >= 0.95
+
+
+def test_near_duplicate_vectors_with_many_slices(spark, monkeypatch):
+    """Tables beyond the code: pairs are found and counted once."""
+    monkeypatch.setattr(embedding_dedup, "shape", lambda *_: (60, 8))
+    rows = vectors(seed=4)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS))
+    assert Counter(map(tuple, got.collect())) == linked(rows)
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 64))
