@@ -370,6 +370,36 @@ def test_tokenizer_agrees_on_odd_text():
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+END = "<|endoftext|>"
+
+
+def test_tokenizer_agrees_on_added_tokens():
+    """The default tokenizer, on texts that hold its added token."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    encode = packing.encoder(packing.tokenizer_path())
+    assert encode(f"end.{END}Next") == [437, 13, 50256, 10019]
+    rng = random.Random(4)
+    parts = [END, END, END[:-1], END[1:], "<|", " ", "  ", "\n", "\r\n\t", "end.", "Next", "'s", "é", "日本", "𝄞", "123", "\u0301", "\u200d", "<|endoftext |>", "<|ENDOFTEXT|>"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_of_added_tokens(spark):
+    import zlib
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [f"end.{END}Next", f"a {END} b " * 40, END, f"{END}{END}", "plain " * 50]
+    got = packing.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i: array("I", [*t.encode(x, add_special_tokens=False).ids, 0]) for i, x in enumerate(texts)}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def best_count(word, pieces, unknown):
     """Highest sum of scores, then fewest tokens, over all segmentations."""
     best = {0: (0.0, 0)}
