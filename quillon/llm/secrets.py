@@ -1,7 +1,9 @@
 """Secret scan: pattern candidates, and a random forest that removes false positives.
 
-A candidate is a run of key characters that is long enough and holds a digit or begins
-with a known prefix.  The
+A candidate is the value after the assignment of a password, token or key, whatever its
+length and characters; a JSON web token with all its parts; or a run of key characters that
+is long enough and holds a digit or begins with a known prefix.  A quoted value ends at its
+quote, an unquoted one at white space, without the closing marks before it.  The
 forest sees its length, its characters' kinds and transitions, how much of it dictionary
 words cover, whether it stands in a path, and the words next to it.  It is trained from
 labelled findings: value, before, after, label.  Without findings of one's own,
@@ -25,12 +27,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A maximal run of 16 or more key characters with a digit in it, or with a known prefix.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/\-]*+[0-9]|AKIA|ASIA|gh[pos]_|glpat-|sk_live_|xox[abp]-)[A-Za-z0-9_+/\-]{16,}+={0,2}"
+#: What names a secret, up to where its value begins: name, suffix, closing marks, sign, scheme, quote.
+NAMED = (
+    r"(?<=(?:(?i:secret|token|passw(?:or)?d|passphrase|passcode|passwd|pwd|credential|auth(?:orization)?|bearer|(?:api|access|private|signing|encryption|account|shared|master|client|service|ssh)[_\-. ]?key)|(?<![A-Za-z])(?i:key|pass|pin))"
+    r"s?(?:[A-Z0-9_\-.][\w.\-]{0,24})?[\"'`\])]{0,2}[ \t]{0,8}[=:>]{1,2}[ \t]{0,8}(?:(?i:bearer|basic|token)[ ])?[\"'`]?)"
+)
+#: A value up to its closing quote, which a backslash escapes; else up to white space, closing marks or the next pair.
+#: The repeated groups take one character at a time, so they need no stack however long a line is.
+VALUE = (
+    r"(?:" + "|".join(rf"(?<={q})(?:(?!(?<!\\){q})[^\n])++(?={q})" for q in "\"'`") + "|"
+    r"(?![\"'`]|(?i:bearer|basic|token)[ ])(?:(?![\"'`.,;:)\]}>]*+(?:\s|$)|[,;&][A-Za-z_]\w{0,30}+=|[\"'`][,;:)\]}>]|</)\S)++)"
+)
+#: A value by its context, a JSON web token, or a maximal run of 16 or more key characters with a digit in it or a known prefix.
+CANDIDATE = (
+    rf"(?<=[=:>\"'`\s])(?=\S)(?<=[=:>][ \t]{{0,8}}(?:[A-Za-z]{{5,6}}[ ])?[\"'`]?){NAMED}{VALUE}"
+    r"|(?<![A-Za-z0-9_+/\-])(?:eyJ[A-Za-z0-9_\-]{5,}+(?:\.{1,2}[A-Za-z0-9_\-]++){1,4}+={0,2}"
+    r"|(?=[A-Za-z_+/\-]*+[0-9]|AKIA|ASIA|gh[pos]_|glpat-|sk_live_|xox[abp]-)[A-Za-z0-9_+/\-]{16,}+={0,2})"
+)
 BEFORE, AFTER = 48, 16
 TRUE_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer|aws)[^\n]{0,24}$"
 FALSE_WORDS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|build|revision|example|sample|dummy|order|invoice|card|phone|isbn|version)[^\n]{0,24}$"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk_live_|rk_live_|AIza|glpat-|eyJ)"
+#: Values that only say where the secret is, or that there is none.
+REFERENCE = r"(?i)^(\$[({]?[a-z_].*|%[a-z_]+%|[<{\[].*[>}\]]|\*+|\.+|-+|_+|[a-z_][\w.]*[(\[].*|[a-z_]+(\.[a-z_]+)+|null|none|nil|true|false|undefined|string|str|n/a)$"
 FILLER = r"(?i)(example|placeholder|changeme|xxxx|your|dummy|sample|0000|1234|abcd)"
 #: Words whose letters count as covered by a dictionary.
 DICTIONARY = (
@@ -42,7 +61,7 @@ DICTIONARY = (
     "test text the this time title token tool top total track tree true type update upload user util value version view web widget width window with word work write year your"
 ).split()
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["length", "transitions", "digits", "uppers", "symbols", "distinct", "dictionary", "vowels", "hexadecimal", "path", "true_words", "false_words", "assigned", "quoted", "prefix", "filler"]
+FEATURES = ["length", "transitions", "digits", "uppers", "symbols", "distinct", "dictionary", "vowels", "hexadecimal", "path", "true_words", "false_words", "assigned", "quoted", "prefix", "filler", "reference"]
 TREES, DEPTH, SEED = 24, 8, 7
 #: Findings that labelled_findings generates: a bound on the default training set.
 GENERATED = 4800
@@ -51,7 +70,7 @@ GENERATED = 4800
 def kinds(value: Column) -> Column:
     """The value with a for lower case, A for upper case, 0 for digits and _ for the rest."""
     plain = LETTERS + LETTERS.upper() + "0123456789+/-="
-    return F.translate(value, plain, "a" * 26 + "A" * 26 + "0" * 10 + "____")
+    return F.regexp_replace(F.translate(value, plain, "a" * 26 + "A" * 26 + "0" * 10 + "____"), "[^aA0]", "_")
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -82,6 +101,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "quoted": flag(b.rlike(r"[\"']$") & a.rlike(r"^[\"']")),
         "prefix": flag(v.rlike(PREFIXES)),
         "filler": flag(v.rlike(FILLER)),
+        "reference": flag(v.rlike(REFERENCE)),
     }
     return rows.withColumns(made)
 
@@ -119,6 +139,27 @@ def labelled_findings(spark: SparkSession, n: int = GENERATED, seed: int = SEED)
         (0, F.concat_ws("_", word("w4"), word("w5"), word("w6"), F.lit("v12")), F.concat(prose, pick("ww", "", "call ", "id="))),
         (0, F.concat(pick("e", "EXAMPLEKEY", "your-token-here-", "xxxxxxxxxxxxxxxx", "changeme-password-", "0000000000000000"), pick("e2", "1234", "0001", "99")), F.concat(prose, true_name, sign)),
     ]
+    # short, letters-only and punctuated values, tokens with dots; words, numbers and references in their place
+    letters = lambda k, m: F.substring(F.translate(mixed(k, 40), "0123456789", "QwXyKzJvHb"), 1, m)
+    marks = lambda k: pick(k, "!", "@", "#", "$", "%", "^", "&", "*", "?", "~")
+    segment = lambda k, m: F.substring(F.concat(mixed(k, 40), mixed(f"{k}c", 40)), 1, m)
+    short = F.concat(F.substring(mixed(13, 12), 1, 5), pick("d", "1", "7", "42", "9", "2024"), F.substring(mixed(14, 12), 1, 3), pick("e3", "", "x", "Qz", "pLm4"))
+    noun = pick("q", "hunter", "dragon", "monkey", "winter", "falcon", "purple", "Tr0ub4d", "s3cur", "Lakers", "zebra")
+    punctuated = F.concat(letters(15, 3), pick("d3", "9", "3", "81"), marks("m1"), mixed(16, 3), marks("m2"), mixed(17, 4), marks("m3"), pick("e4", "", "zR4", "#mN8%"))
+    plain = F.concat(word("w7"), pick("w8", "", "", "s", "ing"))
+    reference = pick("r", "${DB_PASSWORD}", "$TOKEN", "os.environ[\"KEY\"]", "config.password", "getToken()", "<password>", "********", "None", "null", "{{ secret }}", "process.env.API_KEY", "string", "%PASSWORD%", "settings.token")
+    cases += [
+        (1, short, F.concat(prose, true_name, sign)),
+        (1, F.concat(noun, pick("d4", "1", "2", "77", "123", "99"), pick("q2", "", "", "hunter", "dragon", "er")), F.concat(prose, true_name, sign)),
+        (1, letters(18, 22), F.concat(prose, true_name, sign)),
+        (1, punctuated, F.concat(prose, true_name, sign)),
+        (1, F.concat_ws(".", F.concat(F.lit("eyJ"), segment(19, 33)), F.concat(F.lit("eyJ"), segment(20, 50)), segment(21, 43)), F.concat(prose, pick("jn", "", "", "Bearer ", "token="))),
+        (0, plain, F.concat(prose, true_name, sign)),
+        (0, F.initcap(plain), F.concat(prose, true_name, sign)),
+        (0, F.concat_ws(" ", word("w9"), word("w10"), pick("w11", "", "the user", "for this page")), F.concat(prose, true_name, sign)),
+        (0, reference, F.concat(prose, true_name, sign)),
+        (0, pick("z", "1", "8", "64", "512", "2048", "3600", "0.5", "10"), F.concat(prose, true_name, sign)),
+    ]
     which = F.pmod(i, F.lit(len(cases)))
     chain = F.when(which == 0, F.struct(F.lit(cases[0][0]).alias("label"), cases[0][1].alias("value"), cases[0][2].alias("before")))
     for k, (label, value, before) in enumerate(cases[1:], 1):
