@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from collections import Counter
 from itertools import combinations
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,15 +24,35 @@ def duplicate_groups(docs: DataFrame, key: list[str] | None = None) -> DataFrame
 
 
 def _normal(text: str | None) -> str:
-    return re.sub(r"\W+", " ", (text or "").lower()).strip()[:40_000]
-
-
-def least_similarity(texts: list[str | None]) -> float:
-    """The least difflib ratio over all pairs of normalised texts; 0 if any is empty."""
+    return re.sub(r"\W+", " ", (text or "").lower()).strip()
+
+
+def _similarity(a: str, b: str, least: float) -> float:
+    """The difflib ratio of whole texts, their equal ends matched first; an upper bound if that is below least."""
+    if a == b:
+        return 1.0
+    ends = len(commonprefix([a, b]))
+    x, y = a[ends:], b[ends:]
+    last = len(commonprefix([x[::-1], y[::-1]]))
+    x, y, ends = x[: len(x) - last], y[: len(y) - last], ends + last
+    most = 2 * (ends + (Counter(x) & Counter(y)).total()) / (len(a) + len(b))
+    if most < least:
+        return most
+    blocks = difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+    return 2 * (ends + sum(m.size for m in blocks)) / (len(a) + len(b))
+
+
+def least_similarity(texts: list[str | None], least: float = 0.0) -> float:
+    """The least difflib ratio over all pairs of normalised texts; 0 if any is empty (X34). Exact from least on."""
     normal = sorted(map(_normal, texts))
     if len(normal) < 2 or not normal[0]:
         return 0.0
-    return min(1.0 if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in combinations(normal, 2))
+    worst = 1.0
+    for a, b in combinations(normal, 2):
+        worst = min(worst, _similarity(a, b, least))
+        if worst < least:
+            break
+    return worst
 
 
 def deduplicate(docs: DataFrame, least: float = 0.995, key: list[str] | None = None, newest: str = "created_at") -> tuple[DataFrame, DataFrame]:
@@ -42,7 +64,7 @@ def deduplicate(docs: DataFrame, least: float = 0.995, key: list[str] | None = N
     rows = docs.join(duplicate_groups(docs, key).drop("n"), key).select("doc_id", *key, "body_text")
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": group["doc_id"], "_score": least_similarity(list(group["body_text"]))})
+        return pd.DataFrame({"doc_id": group["doc_id"], "_score": least_similarity(list(group["body_text"]), least)})
 
     scores = rows.groupBy(*key).applyInPandas(judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _score double")
     order = Window.partitionBy(*key).orderBy(F.desc_nulls_last(newest), "doc_id")

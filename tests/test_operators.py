@@ -279,6 +279,16 @@ def test_deduplicate(spark):
     assert ids(again) == ids(kept) and none.count() == 0
 
 
+def test_deduplicate_compares_whole_texts(spark):
+    long = " ".join(f"orð{k}" for k in range(8000))
+    assert len(long) > 60_000
+    late, end = long + " viðbót" * 400, long + " endir"
+    rows = [document("a", body_text=long, created_at=datetime(2024, 1, 1)), document("b", body_text=late, created_at=datetime(2024, 2, 1))]
+    rows += [document("c", case_number="2/2020", body_text=long, created_at=datetime(2024, 1, 1)), document("d", case_number="2/2020", body_text=end, created_at=datetime(2024, 2, 1))]
+    kept, dropped = quality.deduplicate(spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], schema.DOCUMENTS))
+    assert ids(kept) == ["a", "b", "d"] and ids(dropped) == ["c"]
+
+
 def test_containment(spark):
     rows = [("big", k, f"orð{k} eitt tvö þrjú fjögur{k} fimm{k}") for k in range(6)] + [("part", k, f"orð{k} eitt tvö þrjú fjögur{k} fimm{k}") for k in range(3)] + [("other", 1, "allt annar texti um annað mál")]
     got = quality.containment(spark.createDataFrame(rows, "file string, page int, text string")).collect()
