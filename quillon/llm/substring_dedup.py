@@ -12,7 +12,8 @@ grams) lie on one path and travel together.  The steps:
    document.  The receiving task finds each edge's smallest document over all slices.
 3. Edges that follow each other in the document and in its source are a nonbranching
    path: they compact to one span with the source's coordinates (a Spark window over
-   each document's edges), and the spans join the texts, whose words they remove.
+   each document's edges, without degrees or joins), and the spans join the texts, whose
+   words they remove.  A span's words aren't compared with those at its source.
 
 Defined results: a null or empty text has no words; a row without doc_id is neither a
 source nor shortened; rows that share a doc_id are separate texts, and neither is a
