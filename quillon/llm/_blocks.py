@@ -19,6 +19,8 @@ from . import _text as tx
 
 #: Bits of the broadcast bitmap: 2**27 bits are 16 MB however large the corpus is.
 BITMAP_BITS = 27
+#: Bits of a bitmap of ids, at most: 2**26 bits are 8 MB; beyond four million ids more rows pass it than need to.
+ID_BITS = 26
 BLOCK = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
 BLOCK_DDL = "bucket int, body binary"
 
@@ -45,7 +47,7 @@ def hash_blocks(hashes: np.ndarray, bits: int) -> dict:
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """Bucket by bucket, its blocks; the rows must be sorted by bucket."""
-    now, bodies = -1, []
+    now, bodies = None, []
     for batch in batches:
         for b, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if b != now:
@@ -82,7 +84,7 @@ def repeated_bitmap(blocks: DataFrame, bits: int) -> Broadcast:
 
     size = (1 << low) // 8
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    for bucket, body in dealt(blocks, bits).mapInArrow(find, BLOCK_DDL).toLocalIterator():
+    for bucket, body in dealt(blocks, bits).mapInArrow(tx.tidy(find), BLOCK_DDL).toLocalIterator():
         bitmap[bucket * size : (bucket + 1) * size] |= np.frombuffer(body, dtype=np.uint8)
     return blocks.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -93,10 +95,11 @@ def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def id_bitmap(ids: DataFrame, column: str, bits: int = 22) -> Broadcast:
-    """A bitmap of mixed ids, 2**bits bits whatever their number; no id is missed."""
+def id_bitmap(ids: DataFrame, column: str, n: int) -> Broadcast:
+    """A bitmap of n mixed ids: 16 bits for each, 2**ID_BITS at most; no id is missed, and others may be marked too."""
     from pyspark.sql import functions as F
 
+    bits = min(ID_BITS, max(16, (16 * n).bit_length()))
     h = F.xxhash64(column)
     words = ids.select(F.shiftrightunsigned(h, 64 - bits + 6).alias("w"), F.shiftrightunsigned(h, 64 - bits).bitwiseAND(F.lit(63)).alias("b"))
     rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("v")).toPandas()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,17 @@ def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
     top = components(over.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")))
     moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
     return saved(moved.union(top), "roots", narrow=True)
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least item of each item's component, for edges (i, j) between n items in memory."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        np.minimum.at(low, root, low)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low

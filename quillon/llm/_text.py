@@ -9,6 +9,8 @@ different words share a hash with a chance near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -49,31 +51,77 @@ BASE = int(stream(7, 1)[0]) | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
+#: Values that are hashed at a time, so that the powers and prefix sums stay small; a longer span is hashed in pieces.
+HASHED = 1 << 17
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=U64)
-        self.down = np.ones(1, dtype=U64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(INVERSE, k, 1 << 64))])
-        return self.up, self.down
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, enough for two runs of HASHED values."""
+    up, down = np.ones(1, dtype=U64), np.ones(1, dtype=U64)
+    while len(up) <= 2 * HASHED:
+        k = len(up)
+        up = np.concatenate([up, up * U64(pow(BASE, k, 1 << 64))])
+        down = np.concatenate([down, down * U64(pow(INVERSE, k, 1 << 64))])
+    return up, down
 
 
-POWERS = _Powers()
+def _long_hash(values: np.ndarray, start: int, end: int, table: np.ndarray | None) -> int:
+    up, total = _powers()[0], 0
+    for at in range(start, end, HASHED):
+        part = values[at : min(end, at + HASHED)]
+        part = table[part] if table is not None else part
+        total += int(np.add.reduce(part * up[: len(part)], dtype=U64)) * pow(BASE, at - start, 1 << 64)
+    return total & MASK
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each span, independent of where it lies."""
-    up, down = POWERS.to(len(values) + 1)
-    total = np.empty(len(values) + 1, dtype=U64)
-    total[0] = 0
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Hash of values[start:end] for each span, independent of where it lies; starts must not fall.
+
+    With a table, table[value] is hashed in place of the value.
+    """
+    up, down = _powers()
+    out = np.empty(len(starts), dtype=U64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = int(np.searchsorted(starts, base + HASHED))
+        first, last = starts[lo:hi], ends[lo:hi]
+        long = last - first > HASHED
+        for k in np.flatnonzero(long).tolist():
+            out[lo + k] = _long_hash(values, int(first[k]), int(last[k]), table)
+        if not long.all():
+            if long.any():
+                first, last = first[~long], last[~long]
+            part = values[base : int(last.max())]
+            part = table[part] if table is not None else part
+            total = np.empty(len(part) + 1, dtype=U64)
+            total[0] = 0
+            np.cumsum(part * up[: len(part)], out=total[1:])
+            out[lo:hi][~long] = (total[last - base] - total[first - base]) * down[first - base]
+        lo = hi
+    return mix64(out)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and what one stage took would count in the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """fn over a task's batches, memory released at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
 
 
 @dataclass
@@ -133,7 +181,7 @@ def split(texts: pa.Array, fold: bool = False, space: np.ndarray = SPACE) -> Wor
         at = off[1:][full] - 1
         end[at] |= word[at]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    hashes = spans_hash((FOLDED_VALUE if fold else BYTE_VALUE)[buf], starts, ends)
+    hashes = spans_hash(buf, starts, ends, FOLDED_VALUE if fold else BYTE_VALUE)
     return Words(buf, off, starts, ends, hashes, np.searchsorted(starts, off))
 
 
@@ -164,7 +212,7 @@ def mapper(fn: Callable[..., Iterator[dict]], schema: pa.Schema, text: str = "te
                 for out in fn(rows, None if fold is None else split(rows.column(at), fold, space)):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -48,7 +48,7 @@ def measure(rows: pa.RecordBatch, w: tx.Words) -> Iterator[dict]:
     full = np.searchsorted(w.starts, end) > np.searchsorted(w.starts, begin) if len(begin) else np.zeros(0, dtype=bool)
     begin, end = begin[full], end[full]
     line_doc = np.searchsorted(w.off, begin, side="right") - 1
-    key = tx.mix64(tx.spans_hash(tx.BYTE_VALUE[w.buf], begin, end) ^ tx.stream(11, n)[line_doc]) if len(begin) else np.empty(0, dtype=np.uint64)
+    key = tx.mix64(tx.spans_hash(w.buf, begin, end, tx.BYTE_VALUE) ^ tx.stream(11, n)[line_doc]) if len(begin) else np.empty(0, dtype=np.uint64)
     n_lines = np.bincount(line_doc, minlength=n)
     _, once = np.unique(key, return_index=True)
     n_dup_lines = n_lines - np.bincount(line_doc[once], minlength=n)
@@ -152,7 +152,7 @@ def accepted(docs: DataFrame, policy: str = "web.v1") -> DataFrame:
                 m = next(measure(ids, w))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(m[k], pa.int64()) for k in MEASURES)], [*names, *(f"{OWN}{k}" for k in MEASURES)])
 
-    measured = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(judge, T.StructType([*docs.schema.fields, *(T.StructField(f"{OWN}{m}", T.LongType()) for m in MEASURES)]))
+    measured = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(tx.tidy(judge), T.StructType([*docs.schema.fields, *(T.StructField(f"{OWN}{m}", T.LongType()) for m in MEASURES)]))
     failed = {name: cond for name, cond in rules(OWN).items() if name in POLICIES[policy]}
     keep = F.lit(True)
     for cond in failed.values():

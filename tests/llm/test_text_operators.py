@@ -150,32 +150,44 @@ def test_deduplicated_text(docs):
 
 
 def joined(rows, k, percent):
+    """Each row's id and set, and the first (id, row) of its component; rows that share an id are rows of their own."""
     sets = []
     for i, t in rows:
         w = WORD.findall(lower(t or ""))
         sets.append((i, frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])))
-    ids = {i: i for i, _ in sets if i is not None}
+    up = list(range(len(rows)))
 
     def root(x):
-        while ids[x] != x:
-            x = ids[x]
+        while up[x] != x:
+            x = up[x]
         return x
 
-    for a, x in sets:
-        for b, y in sets:
-            if a is not None and b is not None and a < b and x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = root(a), root(b)
-                ids[max(p, q)] = min(p, q)
-    return sets, root
+    for a, (i, x) in enumerate(sets):
+        for b, (j, y) in enumerate(sets[:a]):
+            if None not in (i, j) and x and y and 100 * len(x & y) >= percent * len(x | y):
+                up[root(a)] = root(b)
+    label = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            label[root(a)] = min(label.get(root(a), i), i)
+    return [(i, len(x), None if i is None else label[root(a)]) for a, (i, x) in enumerate(sets)], root
 
 
 @pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
 def test_jaccard_join(docs, k, percent):
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id != 12]
-    sets, root = joined(rows, k, percent)
-    want = Counter((i, len(x), None if i is None else root(i)) for i, x in sets)
-    got = jaccard_join.Join(docs.where("doc_id is null or doc_id <> 12"), k, percent).membership()
-    assert Counter(map(tuple, got.collect())) == want
+    want, _ = joined([(r.doc_id, r.text) for r in docs.collect()], k, percent)
+    got = jaccard_join.Join(docs, k, percent).membership().select("doc_id", "n_shingles", "component_id")
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(12, one), (12, two), (13, one + " z"), (14, two + " z"), (15, two.upper()), (9, "c d")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_join.digest(table).collect())) == Counter(joined(rows, 4, 85)[0])
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.representatives(table).collect()) == sorted([(9, "c d"), (12, one), (12, two)])
+    alike = spark.createDataFrame([(12, one), (12, one + " z"), (12, one), (13, one)], "doc_id long, text string")
+    assert [r.doc_id for r in jaccard_join.representatives(alike).collect()] == [12]
 
 
 def chained(n=40, seed=5):
@@ -193,22 +205,59 @@ def chained(n=40, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_jaccard_join_of_large_regions(spark, seed):
+@pytest.mark.parametrize("seed, block, small", [(5, 2048, 64), (6, 2048, 8), (5, 40, 8), (6, 24, 4)])
+def test_jaccard_join_of_large_regions(spark, monkeypatch, seed, block, small):
+    """Cells in one task, cells that Spark divides, and blocks of regions that don't shrink."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 6)
     rows = chained(170, seed)
-    assert len(rows) > 2 * jaccard_join.SMALL
-    sets, root = joined(rows, 4, 85)
+    want, _ = joined(rows, 4, 85)
     got = jaccard_join.digest(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i, _ in rows}
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_hot_regions_are_gathered_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    rows = chained(170, 7)
+    want, _ = joined(rows, 4, 85)
+    got = jaccard_join.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(1))
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 40), st.integers(1, 8))
+def test_cells_keep_all_links(seed, m, p):
+    """Whatever the pivots, two rows within reach of each other meet in a cell where one of them is at home."""
+    rng = random.Random(seed)
+    sketch = jaccard_join.np.array([[rng.getrandbits(12), 0] for _ in range(m)], jaccard_join.tx.U64)
+    d = jaccard_join.hamming(sketch, sketch[:p])
+    radius = jaccard_join.np.array([rng.randint(0, 4) for _ in range(m)])
+    guests = jaccard_join.np.array([rng.random() < 0.2 for _ in range(m)])
+    meet = set()
+    for homes, visits in jaccard_join.voronoi(d, radius, guests):
+        for a in homes.tolist():
+            meet |= {frozenset((a, b)) for b in (*homes.tolist(), *visits.tolist()) if a != b}
+    between = jaccard_join.hamming(sketch, sketch)
+    for a in range(m):
+        for b in range(a):
+            if between[a, b] <= min(radius[a], radius[b]) and not (guests[a] and guests[b]):
+                assert frozenset((a, b)) in meet
 
 
 def test_representatives(docs):
     kept = jaccard_join.representatives(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert None in ids and 500 in ids and 501 in ids
-    sets, root = joined([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
-    assert {i for i in ids if i is not None and i != 12} == {i for i, _ in sets if i is not None and i != 12 and root(i) == i}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    free = Counter((i, t) for i, t in rows if i is None or not WORD.findall(t or ""))
+    assert Counter(x for x in got if x in free) == free
+    want, root = joined(rows, 5, 80)
+    at = {x: k for k, x in enumerate(rows)}
+    linked = [x for x in got if x not in free]
+    assert len({root(at[x]) for x in linked}) == len(linked) == len({root(k) for k, x in enumerate(rows) if x not in free})
+    assert all(want[at[x]][2] == x[0] for x in linked)
 
 
 def targets(sizes, weights=(1, 2, 3)):
