@@ -4,22 +4,31 @@ A vector's code holds the signs of its randomly rotated direction (random signs
 Hadamard transforms, three rounds), and its correction factor the inner product of the
 direction with its code.  The inner product of the code with another rotated vector,
 divided by the factor, is an unbiased estimate of the cosine with a known error (RaBitQ,
-Gao and Long 2024).  Slices of the code's bits key some tables; vectors that share a
-slice are compared by estimate, with the other vector quantised to four bits.  Pairs
-whose upper confidence bound reaches the threshold are recomputed exactly in double
-precision; only these can link.
-
-The index holds every vector.  The bits in a slice follow the number of distinct vectors
-so that buckets stay near BUCKET rows, and the number of tables follows from the wanted
-chance that a pair right at the threshold shares a bucket (pairs above it find each other
-more often).  Tables whose slices don't fit the code take the signs under fresh rotations.  Equal vectors are one class with a multiplicity.  A bucket of more than
-BLOCK rows is cut into blocks that are compared in pairs, so no task holds more than two
-blocks; nothing is capped.  Tasks report counts and a spanning forest, never all pairs.
+Gao and Long 2024).
+
+1. The index holds a code for every distinct vector.  Slices of the code's bits key some
+   tables; tables whose slices don't fit the code take the signs under fresh rotations,
+   which then follow in the code.  The bits in a slice follow the number of distinct
+   vectors so that buckets stay near BUCKET rows, and the number of tables follows from
+   the wanted chance that a pair right at the threshold shares a bucket (pairs above it
+   find each other more often).
+2. Only codes travel to the buckets.  Two codes whose signs differ in more places than a
+   pair at the threshold does, by SIGMAS standard errors, are no pair; the others ask for
+   their vectors, once for each bucket, not for each pair.
+3. Vectors that were asked for are compared in their bucket by estimate, one side by its
+   code and factor, the other quantised to four bits.  Pairs whose upper confidence bound
+   reaches the threshold are recomputed exactly in double precision; only these can link.
+
+Equal vectors are one class with a multiplicity, named by a number of its own, since a
+vec_id may stand for several vectors.  A bucket of more than BLOCK rows is cut into blocks
+that are compared in pairs, so no task holds more than two blocks; nothing is capped.
+Tasks report counts and a spanning forest, never all pairs.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different lengths never link; rows without
-vec_id link with nothing and have a null component; repeated rows link as copies; labels
-and extra columns are ignored; an empty table gives an empty result.
+vec_id link with nothing and have a null component; repeated rows link as copies, and rows
+that share a vec_id but not the vector link each on their own; labels and extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._graph import components
+from ._graph import components, least_labels
 from ._io import saved
 
 THRESHOLD, RECALL = 0.9, 0.98
@@ -110,129 +119,194 @@ def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 PROFILE = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
+def told(vector: pa.ListScalar) -> tuple[np.ndarray, int, int, int]:
+    """A vector's components, its length, and a digest of them; length 0 for vectors that can't link."""
+    x = np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64) if vector.is_valid else np.empty(0)
+    ok = len(x) and np.isfinite(x).all() and x.any()
+    d1, d2 = np.frombuffer(hashlib.md5((x + 0.0).tobytes() if ok else b"").digest(), np.int64).tolist()
+    return x, len(x) if ok else 0, d1, d2
+
+
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of each vector's components; dim 0 for vectors that can't link."""
+    """Length and digest of each vector."""
     for batch in batches:
-        dims, d1, d2 = [], [], []
-        for v in batch.column(1):
-            x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) if v.is_valid else np.empty(0)
-            ok = len(x) and np.isfinite(x).all() and x.any()
-            h = np.frombuffer(hashlib.md5((x + 0.0).tobytes() if ok else b"").digest(), np.int64)
-            dims.append(len(x) if ok else 0)
-            d1.append(h[0])
-            d2.append(h[1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], schema=PROFILE)
+        cols = list(zip(*(told(v)[1:] for v in batch.column(1)))) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(PROFILE)[1:]))], schema=PROFILE)
+
+
+STORE = pa.schema([*PROFILE, ("vec", pa.binary())])
+
+
+def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of vectors that can link, in single precision where that is exact; a task tells repeated rows once."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        rows = []
+        for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x, *name = told(vector)
+            if name[0] and vec_id is not None and (vec_id, *name) not in seen:
+                seen.add((vec_id, *name))
+                with np.errstate(over="ignore"):
+                    single = x.astype(np.float32)
+                rows.append((vec_id, *name, (single if (single == x).all() else x).tobytes()))
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, STORE)], schema=STORE)
+
+
+def unstored(vecs: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in vecs])
+
 
+CODES = pa.schema([("node", pa.int64()), ("dim", pa.int32()), ("code", pa.binary()), ("factor", pa.float64())])
+CODES_DDL = "node long, dim int, code binary, factor double"
+INDEX = pa.schema([("dim", pa.int32()), ("tab", pa.int32()), ("slot", pa.int64()), ("node", pa.int64()), ("code", pa.binary())])
+INDEX_DDL = "dim int, tab int, slot long, node long, code binary"
 
-INDEX = pa.schema([("rep", pa.int64()), ("dim", pa.int32()), ("copies", pa.int64()), ("code", pa.binary()), ("factor", pa.float64()), ("vec", pa.binary()), ("tab", pa.int32()), ("slot", pa.int64())])
-INDEX_DDL = "rep long, dim int, copies long, code binary, factor double, vec binary, tab int, slot long"
 
+def groups_for(tables: int, bits: int, dim: int) -> int:
+    """Rotations whose signs the tables' slices take up."""
+    return -(-tables // (code_bits(dim) // bits))
 
-def slices_of(code: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """The bits of each table's own slice of the codes: rows by tables."""
+
+def coded(x: np.ndarray, tables: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with the signs of all rotations that the tables need, and correction factors."""
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    _, code, factor = encode(x)
+    more = [np.packbits(rotate(unit, g) >= 0, axis=1, bitorder="little").view(tx.U64) for g in range(1, groups_for(tables, bits, x.shape[1]))]
+    return np.concatenate([code, *more], axis=1), factor
+
+
+def slots_of(code: np.ndarray, tables: int, bits: int, dim: int) -> np.ndarray:
+    """The slot of each code in each table, from slices of its bits that don't overlap: rows by tables."""
+    room, size = code_bits(dim) // bits, code_bits(dim)
     flat = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")
-    at = np.arange(tables * bits).reshape(tables, bits)
+    table = np.arange(tables)
+    at = (table // room * size + table % room * bits)[:, None] + np.arange(bits)
     return (flat[:, at].astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
-def slots_of(x: np.ndarray, code: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """The slot of each vector in each table: rows by tables.
+def coder(tables: int, bits: int):
+    """mapInArrow function: the code and factor of every stored vector (node, dim, vec)."""
 
-    A code has room for some slices; the tables beyond take theirs from the signs under
-    fresh rotations, so no bit keys two tables.
-    """
-    room = code.shape[1] * 64 // bits
-    out = np.empty((len(x), tables), np.int64)
-    out[:, :room] = slices_of(code, min(tables, room), bits)
-    for lo in range(0, len(x) if tables > room else 0, 1024):
-        part = x[lo : lo + 1024]
-        unit = part / np.linalg.norm(part, axis=1)[:, None]
-        for group in range(1, -(-tables // room)):
-            signs = np.packbits(rotate(unit, group) >= 0, axis=1, bitorder="little").view(tx.U64)
-            first = group * room
-            out[lo : lo + 1024, first : first + room] = slices_of(signs, min(tables - first, room), bits)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column(1))
+            for dim in np.unique(dims).tolist():
+                rows = batch.filter(pa.array(dims == dim))
+                for lo in range(0, len(rows), 1024):
+                    part = rows.slice(lo, 1024)
+                    code, factor = coded(unstored(part.column(2).to_pylist(), dim), tables, bits)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor)], schema=CODES)
+
+    return tx.tidy(run)
 
 
 def indexer(tables: int, bits: int):
-    """mapInArrow function: a row for each class and table."""
+    """mapInArrow function: a row for each code and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column(1))
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 rows = batch.filter(pa.array(dims == dim))
                 for lo in range(0, len(rows), 1024):
                     part = rows.slice(lo, 1024)
-                    x = np.asarray(part.column(3).flatten()).astype(np.float64).reshape(len(part), dim)
-                    _, code, factor = encode(x)
-                    single = x.astype(np.float32)
-                    exact = single if (single.astype(np.float64) == x).all() else x
-                    vec = [v.tobytes() for v in exact]
-                    codes = [c.tobytes() for c in code]
-                    slot = slots_of(x, code, tables, bits)
+                    code = np.frombuffer(b"".join(part.column(2).to_pylist()), tx.U64).reshape(len(part), -1)
+                    slot = slots_of(code, tables, bits, dim)
                     for t in range(tables):
-                        cols = [part.column(0), part.column(1), part.column(2), pa.array(codes, pa.binary()), pa.array(factor), pa.array(vec, pa.binary()), pa.array(np.full(len(part), t, np.int32)), pa.array(slot[:, t])]
-                        yield pa.RecordBatch.from_arrays(cols, schema=INDEX)
+                        yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.full(len(part), t, np.int32)), pa.array(slot[:, t]), part.column(0), part.column(2)], schema=INDEX)
+
+    return tx.tidy(run)
+
+
+def most_apart(threshold: float, bits: int) -> int:
+    """Signs in which the codes of a pair at the threshold may differ, SIGMAS standard errors allowed.
+
+    Two random signs of vectors at an angle differ with the chance angle / pi.
+    """
+    share = math.acos(threshold) / math.pi
+    return min(bits, math.ceil(bits * share + SIGMAS * math.sqrt(bits * share * (1 - share))))
+
+
+ASKED = pa.schema([("dim", pa.int32()), ("tab", pa.int32()), ("slot", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("own", pa.int32()), ("node", pa.int64())])
+ASKED_DDL = "dim int, tab int, slot long, bi int, bj int, own int, node long"
 
-    return run
 
+def screener(tables: int, bits: int, threshold: float):
+    """applyInArrow function over a bucket's codes, or two blocks of them: those with a partner of near enough signs.
 
-LINKS = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
-LINKS_DDL = "rep long, root long, links long"
+    A pair counts in the first table that brings it together.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        dim, tab = table.column("dim")[0].as_py(), table.column("tab")[0].as_py()
+        own = table.column("own").to_numpy()
+        crossing = table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
+        code = np.frombuffer(b"".join(table.column("code").to_pylist()), tx.U64).reshape(len(table), -1)
+        slot = slots_of(code, tab, bits, dim) if tab else np.empty((len(table), 0), np.int64)
+        words, most = code_bits(dim) // 64, most_apart(threshold, code_bits(dim))
+        asked = np.zeros(len(table), dtype=bool)
+        step = max(1, (1 << 18) // len(table))
+        for lo in range(0, len(table), step):
+            hi = min(lo + step, len(table))
+            apart = np.zeros((hi - lo, len(table) - lo), np.int32)
+            for word in range(words):
+                apart += np.bitwise_count(code[lo:hi, word][:, None] ^ code[lo:, word][None, :])
+            near = apart <= most
+            near &= np.arange(lo, len(table))[None, :] > np.arange(lo, hi)[:, None]
+            if crossing:
+                near &= own[lo:][None, :] != own[lo:hi][:, None]
+            i, j = np.nonzero(near)
+            i, j = i + lo, j + lo
+            first = ~(slot[i] == slot[j]).any(axis=1)
+            asked[i[first]] = True
+            asked[j[first]] = True
+        return table.filter(pa.array(asked)).select(ASKED.names).cast(ASKED)
+
+    return run
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row of each row's component."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, i, root[j])
-        np.minimum.at(low, j, root[i])
-        np.minimum.at(low, root, low)
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
+LINKS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+LINKS_DDL = "node long, root long, links long"
 
 
 def linker(tables: int, bits: int, threshold: float):
-    """applyInArrow function over a bucket, or two blocks of one: links by estimate, then exactly."""
+    """applyInArrow function over vectors asked for in a bucket, or in two blocks of one: links by estimate, then exactly."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
+        table = table.sort_by("node")
         dim, tab = table.column("dim")[0].as_py(), table.column("tab")[0].as_py()
-        one, other = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         own = table.column("own").to_numpy()
-        rep, copies, factor = (table.column(c).to_numpy() for c in ("rep", "copies", "factor"))
-        code = np.frombuffer(b"".join(table.column("code").to_pylist()), tx.U64).reshape(len(rep), -1)
-        x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in table.column("vec").to_pylist()])
-        slot = slots_of(x, code, tab + 1, bits)
+        crossing = table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
+        node, copies, factor = (table.column(c).to_numpy() for c in ("node", "copies", "factor"))
+        whole = np.frombuffer(b"".join(table.column("code").to_pylist()), tx.U64).reshape(len(node), -1)
+        code = np.ascontiguousarray(whole[:, : code_bits(dim) // 64])
+        x = unstored(table.column("vec").to_pylist(), dim)
+        slot = slots_of(whole, tab, bits, dim) if tab else np.empty((len(node), 0), np.int64)
         found_i, found_j = [], []
-        step = max(1, (1 << 20) // max(1, len(rep)))
-        for lo in range(0, len(rep), step):
-            hi = min(lo + step, len(rep))
+        step = max(1, (1 << 18) // max(1, len(node)))
+        for lo in range(0, len(node), step):
+            hi = min(lo + step, len(node))
             y = rotate(x[lo:hi] / np.linalg.norm(x[lo:hi], axis=1)[:, None])
             guess, bound = estimates(code[lo:], factor[lo:], planes(y))
             near = guess + bound[None, :] >= threshold
-            near &= np.arange(lo, len(rep))[None, :] > np.arange(lo, hi)[:, None]
-            if one != other:
+            near &= np.arange(lo, len(node))[None, :] > np.arange(lo, hi)[:, None]
+            if crossing:
                 near &= own[lo:][None, :] != own[lo:hi][:, None]
             i, j = np.nonzero(near)
             i, j = i + lo, j + lo
+            first = ~(slot[i] == slot[j]).any(axis=1)
+            i, j = i[first], j[first]
             hit = cosines(x, i, j) >= threshold
-            i, j = i[hit], j[hit]
-            # a pair counts in the first table that brings it together
-            first = ~(slot[i, :tab] == slot[j, :tab]).any(axis=1)
-            found_i.append(i[first])
-            found_j.append(j[first])
+            found_i.append(i[hit])
+            found_j.append(j[hit])
         i, j = np.concatenate(found_i), np.concatenate(found_j)
-        links = np.zeros(len(rep), np.int64)
+        links = np.zeros(len(node), np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
-        root = rep[forest(len(rep), i, j)]
+        root = node[least_labels(len(node), i, j)]
         some = links > 0
-        return pa.table({"rep": rep[some], "root": root[some], "links": links[some]}, schema=LINKS)
+        return pa.table({"node": node[some], "root": root[some], "links": links[some]}, schema=LINKS)
 
     return run
 
@@ -247,25 +321,31 @@ def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = saved(own.mapInArrow(profile, "vec_id long, dim int, d1 long, d2 long"), "vectors")
+    rows = saved(own.mapInArrow(tx.tidy(profile), "vec_id long, dim int, d1 long, d2 long"), "vectors")
     usable = rows.where("dim > 0 and vec_id is not null")
-    classes = saved(usable.groupBy("dim", "d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    classes = usable.groupBy("dim", "d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     n, total = classes.count(), rows.count()
     tables, bits = shape(n, threshold, recall)
-    # a vec_id may come with several vectors: take the class's own one
-    wide = own.join(classes.select(F.col("rep").alias("vec_id"), "dim", "copies"), "vec_id").where(F.size("embedding") == F.col("dim")).dropDuplicates(["vec_id", "dim"])
-    index = wide.select(F.col("vec_id").alias("rep"), "dim", "copies", "embedding").mapInArrow(indexer(tables, bits), INDEX_DDL)
-    index = saved(index, "vector-index")
+    name = ["vec_id", "dim", "d1", "d2"]
+    store = own.mapInArrow(tx.tidy(stored), "vec_id long, dim int, d1 long, d2 long, vec binary").join(classes.withColumnRenamed("rep", "vec_id"), name)
+    store = saved(store.select("node", "dim", "vec", "copies").dropDuplicates(["node"]), "vector-store")
+    codes = saved(store.select("node", "dim", "vec").mapInArrow(coder(tables, bits), CODES_DDL), "vector-codes")
+    index = codes.select("node", "dim", "code").mapInArrow(indexer(tables, bits), INDEX_DDL)
     key = ["dim", "tab", "slot"]
-    hot = saved(index.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1"), "vector-hot")
+    hot = saved(index.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1"), "vector-hot", narrow=True)
     dealt = index.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "blocks")
-    links = saved(dealt.groupBy(*key, "bi", "bj").applyInArrow(linker(tables, bits, threshold), LINKS_DDL), "vector-links")
-    roots = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    answer = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    answer = saved(answer.select("dim", "d1", "d2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "vector-answer")
+    asked = saved(dealt.groupBy(*key, "bi", "bj").applyInArrow(screener(tables, bits, threshold), ASKED_DDL), "vector-asked")
+    wanted = asked.join(store.drop("dim"), "node").join(codes.drop("dim"), "node")
+    links = saved(wanted.groupBy(*key, "bi", "bj").applyInArrow(linker(tables, bits, threshold), LINKS_DDL), "vector-links")
+    roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    answer = classes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = answer.groupBy("root").agg(F.min("rep").alias("component_id"))
+    answer = answer.join(least, "root").select("dim", "d1", "d2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    answer = saved(answer, "vector-answer", narrow=True)
     # classes with over a thousandth of the rows are fewer than a thousand: broadcast them, join the others
     keys, floor = ["dim", "d1", "d2"], total // 1000 + 1
     tagged = rows.withColumn("dim", F.when(F.col("vec_id").isNotNull(), F.col("dim")).otherwise(F.lit(0)))
