@@ -6,15 +6,17 @@ those probabilities are out-of-fold predictions, so a later model learns from ea
 ones as good, or as bad, as they are on new texts; in prediction they come from the
 earlier models fitted to all training rows.
 
-The chain is low_quality, toxic, severe_toxic: the first two come from the labels, the
-last marks toxic rows with SEVERE_WORDS of the words that speak most for toxic.
+The chain is low_quality, toxic, toxic_low_quality: the labels hold the first two, and the
+last is that both hold.
 
-Training uses at most SAMPLE labelled rows, those of the least hash, on the driver;
-prediction reads the whole of every text.  Words are runs without white space and ASCII
+Training uses at most SAMPLE labelled rows, those of the least hash, and of these as many,
+in that order, as hold SAMPLE_WORDS distinct words together (the first one in any case), on
+the driver; prediction reads the whole of every text.  Words are runs without white space and ASCII
 punctuation, A-Z lower-cased.
 
 Defined results: a null or empty text has no words and gets the models' base rates;
-labels that are null don't count, and of repeated labels the largest counts; with no
+labels that are null don't count, and of repeated labels the largest counts; of several
+texts with a labelled doc_id that with the least word hashes is trained with; with no
 labelled rows, or one class only, a category's probability is that class's share (0
 without rows); repeated rows and rows without doc_id are predicted each; extra columns
 are ignored; an empty table gives an empty result.
@@ -31,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._io import saved
 
-SAMPLE = 6000
+#: Labelled rows, and distinct words of all of them, that train the chain: a bound on the driver's memory.
+SAMPLE, SAMPLE_WORDS = 6000, 8_000_000
 FOLDS, STEPS, RATE, RIDGE = 4, 300, 0.15, 0.5
 #: Training rows that must hold a word, and standard errors its log odds must differ by.
 LEAST_ROWS, LEAST_Z = 5, 3.0
-SEVERE_WORDS = 4
 #: Share of the best F1 that a cut must reach.
 NEAR_BEST = 0.95
-CATEGORIES = ("low_quality", "toxic", "severe_toxic")
+CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 
 
 def distinct_words(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +164,7 @@ def train_chain(flat: np.ndarray, off: np.ndarray, labels: dict[str, np.ndarray]
     before = np.empty((n, 0))
     chain, oof = [], {}
     for category in CATEGORIES:
-        y = labels[category] if category in labels else severe(col, row, labels["toxic"], len(words))
+        y = labels[category] if category in labels else labels["toxic"] * labels["low_quality"]
         z = telling(col, row, y, len(words))
         chosen = np.flatnonzero(np.abs(z) >= LEAST_Z)
         place = np.full(len(words), -1)
@@ -180,20 +183,22 @@ def train_chain(flat: np.ndarray, off: np.ndarray, labels: dict[str, np.ndarray]
     return chain, oof
 
 
-def severe(col: np.ndarray, row: np.ndarray, toxic: np.ndarray, n_cols: int) -> np.ndarray:
-    strong = telling(col, row, toxic, n_cols) >= LEAST_Z
-    return ((np.bincount(row, strong[col], len(toxic)) >= SEVERE_WORDS) & (toxic == 1)).astype(float)
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link]:
     """Models from at most ``sample`` labelled rows."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
     words = texts.mapInArrow(tx.mapper(features, FEATURES, fold=True, space=tx.PUNCTUATION), "doc_id long, words binary")
-    found = {r["doc_id"]: r["words"] for r in words.toLocalIterator()}
-    rows = [r for r in some.collect() if r["doc_id"] in found]
+    words = saved(words.groupBy("doc_id").agg(F.min("words").alias("words")), "toxic-words", narrow=True)
+    size = {r["doc_id"]: r["n"] for r in words.select("doc_id", (F.octet_length("words") / 8).cast("long").alias("n")).collect()}
+    rows, total = [], 0
+    for r in some.collect():
+        if r["doc_id"] in size and (not rows or total + size[r["doc_id"]] <= SAMPLE_WORDS):
+            rows.append(r)
+            total += size[r["doc_id"]]
     rows.sort(key=lambda r: r["doc_id"])
+    wanted = {r["doc_id"] for r in rows}
+    found = {r["doc_id"]: r["words"] for r in words.toLocalIterator() if r["doc_id"] in wanted}
     parts = [np.frombuffer(found[r["doc_id"]], tx.U64) for r in rows]
     off = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
     flat = np.concatenate([np.empty(0, tx.U64), *parts])
