@@ -102,9 +102,9 @@ def id_bitmap(ids: DataFrame, column: str, n: int) -> Broadcast:
     bits = min(ID_BITS, max(16, (16 * n).bit_length()))
     h = F.xxhash64(column)
     words = ids.select(F.shiftrightunsigned(h, 64 - bits + 6).alias("w"), F.shiftrightunsigned(h, 64 - bits).bitwiseAND(F.lit(63)).alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("v")).toPandas()
+    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("v")).toArrow()
     bitmap = np.zeros(1 << (bits - 6), dtype=np.int64)
-    bitmap[rows["w"].to_numpy()] = rows["v"].to_numpy()
+    bitmap[np.asarray(rows["w"])] = np.asarray(rows["v"])
     return ids.sparkSession.sparkContext.broadcast(bitmap)
 
 

@@ -587,11 +587,11 @@ class Join:
 
     def _order(self):
         """Frequent shingles and their rank by count; at most FREQUENT of them, broadcast."""
-        top = self.frequent.groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(FREQUENT).toPandas()
-        key = top["d1"].to_numpy(np.int64).view(tx.U64)
+        top = self.frequent.groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(FREQUENT).toArrow()
+        key = np.array(top["d1"], np.int64).view(tx.U64)
         rank = len(key) - np.arange(len(key))
         by = np.argsort(key)
-        hot_rank = int(rank[top["n"].to_numpy() >= HOT].min(initial=FREQUENT + 1))
+        hot_rank = int(rank[np.array(top["n"], np.int64) >= HOT].min(initial=FREQUENT + 1))
         return self.spark.sparkContext.broadcast((key[by], rank[by], hot_rank))
 
     def _possible(self, pairs: DataFrame) -> DataFrame:

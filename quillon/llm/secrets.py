@@ -5,8 +5,10 @@ length and characters; a JSON web token with all its parts; or a run of key char
 is long enough and holds a digit or begins with a known prefix.  A quoted value ends at its
 quote, an unquoted one at white space, without the closing marks before it.  The
 forest sees its length, its characters' kinds and transitions, how much of it dictionary
-words cover, whether it stands in a path, and the words next to it.  It is trained from
-labelled findings: value, before, after, label.  Without findings of one's own,
+words cover, whether it stands in a path, and the words next to it.  The dictionary holds
+some words of code and paths and the corpus's own: those letters-only words that most of
+its documents hold, counted over all of them.  The forest is trained from labelled
+findings: value, before, after, label.  Without findings of one's own,
 ``labelled_findings`` generates some: keys, tokens and passwords as true ones; digests,
 ids, paths, numbers, identifiers and placeholders as false ones.
 
@@ -16,7 +18,9 @@ candidates, so each candidate's context is the text between it and its neighbour
 Defined results: null and empty texts have no candidates; repeated rows give repeated
 findings; rows without doc_id are scanned too; extra columns are kept by ``masked`` and
 ignored by ``findings``; an empty table has no findings.  Candidates are numbered from 0
-in each text.
+in each text.  Labelled findings with a null value or label don't count; without any, or
+with one label only, every candidate's score is the share of secrets among them (0 without
+any).  Of words that equally many documents hold the first by code point come first.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._io import saved
+
 #: What names a secret, up to where its value begins: name, suffix, closing marks, sign, scheme, quote.
 NAMED = (
     r"(?<=(?:(?i:secret|token|passw(?:or)?d|passphrase|passcode|passwd|pwd|credential|auth(?:orization)?|bearer|(?:api|access|private|signing|encryption|account|shared|master|client|service|ssh)[_\-. ]?key)|(?<![A-Za-z])(?i:key|pass|pin))"
@@ -51,7 +57,7 @@ PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk_live_|rk_live_|AIza|glpat-|
 #: Values that only say where the secret is, or that there is none.
 REFERENCE = r"(?i)^(\$[({]?[a-z_].*|%[a-z_]+%|[<{\[].*[>}\]]|\*+|\.+|-+|_+|[a-z_][\w.]*[(\[].*|[a-z_]+(\.[a-z_]+)+|null|none|nil|true|false|undefined|string|str|n/a)$"
 FILLER = r"(?i)(example|placeholder|changeme|xxxx|your|dummy|sample|0000|1234|abcd)"
-#: Words whose letters count as covered by a dictionary.
+#: Words of code and paths, which a dictionary holds beside the corpus's.
 DICTIONARY = (
     "about access after again api app assets back base before body book build button cache call change class client code commit common config content core count create data date default demo dist document "
     "down draft each edit element error event example export false field file filter first font form frame from func function general get group handler header home image import index info input install item "
@@ -63,6 +69,8 @@ DICTIONARY = (
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["length", "transitions", "digits", "uppers", "symbols", "distinct", "dictionary", "vowels", "hexadecimal", "path", "true_words", "false_words", "assigned", "quoted", "prefix", "filler", "reference"]
 TREES, DEPTH, SEED = 24, 8, 7
+#: Words that a dictionary takes from the corpus at most (they travel in the plan), and documents that must hold one.
+CORPUS_WORDS, HOLDERS = 512, 5
 #: Findings that labelled_findings generates: a bound on the default training set.
 GENERATED = 4800
 
@@ -73,7 +81,16 @@ def kinds(value: Column) -> Column:
     return F.regexp_replace(F.translate(value, plain, "a" * 26 + "A" * 26 + "0" * 10 + "____"), "[^aA0]", "_")
 
 
-def with_features(rows: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """Lower-case words for the dictionary: the built-in ones, and those that most documents hold."""
+    words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), "[^a-z0-9]+"))
+    held = docs.select(F.explode(words).alias("word")).where(F.length("word").between(4, 20)).groupBy("word").agg(F.count("*").alias("n"))
+    held = held.where((F.col("n") >= HOLDERS) & F.col("word").rlike("^[a-z]+$"))
+    top = [r["word"] for r in held.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return sorted({*top, *(w for w in DICTIONARY if len(w) > 3)})
+
+
+def with_features(rows: DataFrame, words: list[str]) -> DataFrame:
     """rows (value, before, after) with the forest's features."""
     v, b, a = F.col("value"), F.col("before"), F.col("after")
     n = F.length(v).cast("double")
@@ -83,7 +100,9 @@ def with_features(rows: DataFrame) -> DataFrame:
     def share(of: Column, chars: str) -> Column:
         return (n - F.length(F.regexp_replace(of, f"[{chars}]", ""))) / n
 
-    words = "|".join(w for w in sorted(DICTIONARY, key=len, reverse=True) if len(w) > 3)
+    known = F.lit(f" {' '.join(words)} ")
+    parts = F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0))
+    covered = F.aggregate(F.filter(parts, lambda p: F.contains(known, F.concat(F.lit(" "), F.lower(p), F.lit(" ")))), F.lit(0), lambda total, p: total + F.length(p))
     made = {
         "length": F.log2(n),
         "transitions": (F.length(F.regexp_replace(kind, r"(.)\1+", "$1")) - 1) / F.greatest(n - 1, F.lit(1.0)),
@@ -91,7 +110,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "uppers": share(kind, "A"),
         "symbols": share(kind, "_"),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(36.0)),
-        "dictionary": (n - F.length(F.regexp_replace(F.lower(v), words, ""))) / n,
+        "dictionary": covered / n,
         "vowels": share(F.lower(v), "aeiou"),
         "hexadecimal": flag(F.lower(v).rlike("^[0-9a-f]+$")),
         "path": flag(F.instr(v, "/") > 0) + flag(b.rlike(r"[/.]$")) + flag(a.rlike(r"^[/.][a-z]")) + flag(b.rlike(r"://\S*$")),
@@ -169,14 +188,18 @@ def labelled_findings(spark: SparkSession, n: int = GENERATED, seed: int = SEED)
     return rows.select("c.value", "c.before", after.alias("after"), F.col("c.label").cast("double").alias("label"))
 
 
-def assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(rows))
+def assembled(rows: DataFrame, words: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(rows, words))
 
 
-def train(labelled: DataFrame) -> RandomForestClassificationModel:
-    """The forest, from labelled findings (value, before, after, label)."""
+def train(labelled: DataFrame, words: list[str]) -> RandomForestClassificationModel | float:
+    """The forest, from labelled findings (value, before, after, label); the share of secrets where there aren't two labels."""
+    rows = labelled.where("value is not null and label is not null").fillna("", ["before", "after"])
+    n, true = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if not 0 < true < n:
+        return float(true) / max(n, 1)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features")
-    return forest.fit(assembled(labelled).select("features", "label"))
+    return forest.fit(assembled(rows, words).select("features", "label"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -188,17 +211,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", F.posexplode(each).alias("nth", "c")).select("doc_id", "text_key", "nth", "c.value", "c.before", "c.after")
 
 
-def scored(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+def scored(rows: DataFrame, model: RandomForestClassificationModel | float, words: list[str]) -> DataFrame:
     """rows with score, the forest's probability, and is_secret."""
     keep = rows.columns
-    found = model.transform(assembled(rows)).withColumn("score", F.round(vector_to_array("probability")[1], 6))
+    found = rows.withColumn("score", F.lit(model)) if isinstance(model, float) else model.transform(assembled(rows, words)).withColumn("score", F.round(vector_to_array("probability")[1], 6))
     return found.select(*keep, "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Every candidate of every text with its score and verdict."""
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    return scored(candidates(docs), model)
+    words = dictionary(docs)
+    # written first: the generated findings are one long expression, which every later step would repeat
+    model = train(saved(labelled if labelled is not None else labelled_findings(docs.sparkSession), "labelled"), words)
+    return scored(candidates(docs), model, words)
 
 
 def masked(docs: DataFrame, labelled: DataFrame | None = None, mask: str = "[SECRET]") -> DataFrame:
