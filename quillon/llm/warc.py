@@ -37,6 +37,8 @@ from ._io import fresh_path, saved
 REVISIT_BYTES = 1000
 #: Compressed bytes after which an archive is closed, bytes read at a time, and the zlib level.
 ARCHIVE_BYTES, READ_BYTES, LEVEL = 64 << 20, 256 << 10, 4
+#: Bytes of a header, at most.
+HEADER_BYTES = 1 << 20
 #: Distinct repeated payloads up to which the table of them is broadcast.
 BROADCAST_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,8 +101,12 @@ def writer(folder: str):
                     count, size = count + 1, size + len(member)
                     if size >= ARCHIVE_BYTES:
                         close()
-        finally:
             close()
+        except BaseException:  # a task that fails leaves no archives behind
+            close()
+            for n, _, _ in closed:
+                store.delete_file(f"{root}/{n}")
+            raise
         cols = list(zip(*closed)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in cols[0]], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], schema=MANIFEST)
 
@@ -147,7 +153,7 @@ class Stream:
             self.raw = self.member.unused_data
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
+    def until(self, mark: bytes, most: int = HEADER_BYTES) -> bytes:
         """Bytes up to and with the mark."""
         at = -1
         while (at := self.plain.find(mark)) < 0:
@@ -204,6 +210,8 @@ def records(source, keep: bool = False) -> Iterator[dict]:
                 http += part
                 at = http.find(b"\r\n\r\n")
                 if at < 0:
+                    if len(http) > HEADER_BYTES:
+                        raise Broken("a header has no end")
                     continue
                 inside, part, http = True, http[at + 4 :], http[: at + 4]
             payload.update(part)
