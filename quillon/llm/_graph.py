@@ -44,14 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(before)
 
 
-def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root) after more edges: only what they join is worked on again."""
-    over = edges.join(roots.withColumnsRenamed({"node": "u", "root": "_u"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "_v"}), "v", "left")
-    top = components(over.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")))
-    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
-    return saved(moved.union(top), "roots", narrow=True)
-
-
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least item of each item's component, for edges (i, j) between n items in memory."""
     root = np.arange(n)
