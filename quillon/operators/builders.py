@@ -97,6 +97,33 @@ def doc_lemmas(docs: DataFrame, text: str = "text", key: str = "doc_id", lemmas:
     return tokens.groupBy(key, "lemma").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def selection(docs: DataFrame, hashes: DataFrame, sources: list[str], force: bool = False, source: str | None = None, doc: str | None = None, since: str | None = None, most: int | None = None) -> DataFrame:
+    """The documents a batch job works on (F16): stale ones of its sources, from a date on, at most so many by id.
+
+    A document that is named is taken whether stale or not, but of the job's sources only.
+    """
+    rows = docs.where(F.col("source_short").isin(sources))
+    if doc is not None:
+        return rows.where(F.col("doc_id") == doc)
+    if source is not None:
+        rows = rows.where(F.col("source_short") == source)
+    if since is not None:
+        rows = rows.where(F.col("document_date") >= F.lit(since).cast("date"))
+    rows = rows if force else stale(rows, hashes)
+    return rows if most is None else rows.orderBy("doc_id").limit(most)
+
+
+def document_lemmas(docs: DataFrame, passage_lemmas: DataFrame) -> DataFrame:
+    """doc_id and the text that a document is found by: number, court and verdict, then its passages' lemmas in order.
+
+    passage_lemmas: doc_id, ordinal, lemmas (a text).
+    """
+    own = passage_lemmas.where("coalesce(lemmas, '') <> ''").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "lemmas"))).alias("_p"))
+    parts = [F.nullif(F.col(c), F.lit("")) for c in ("case_number", "court", "verdict_type")]
+    joined = F.array_join(F.transform("_p", lambda p: p["lemmas"]), " ")
+    return docs.join(own, "doc_id", "left").select("doc_id", F.trim(F.concat_ws(" ", *parts, joined)).alias("lemma_text"))
+
+
 def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
     """The index partitioned by a hash of the lemma and sorted, so that a query reads few row groups."""
     part = F.pmod(F.xxhash64("lemma"), F.lit(buckets)).cast("int")

@@ -155,6 +155,31 @@ def link_appeals(upper: DataFrame, lower: DataFrame, threshold: float = 0.5, win
     return won.select("from_doc_id", "to_doc_id", F.lit("appealed_from").alias("relation"), F.col("score").alias("confidence"), "method")
 
 
+def resolution_links(docs: DataFrame, upper: str, lower: list[str]) -> DataFrame:
+    """Edges from rulings to the ones that their payload links to, by external id, both ways.
+
+    docs: doc_id, source_short, external_id, link.  The id follows ?id= or the last slash.
+    """
+    link = F.col("link")
+    wanted = F.when(F.contains(link, F.lit("?id=")), F.substring_index(F.substring_index(link, "?id=", -1), "&", 1)).otherwise(F.substring_index(link, "/", -1))
+    asked = docs.where((F.col("source_short") == upper) & (F.coalesce(link, F.lit("")) != "")).select(F.col("doc_id").alias("from_doc_id"), wanted.alias("external_id"))
+    there = docs.where(F.col("source_short").isin(lower)).select(F.col("doc_id").alias("to_doc_id"), "external_id")
+    edges = asked.join(there, "external_id").select("from_doc_id", "to_doc_id", F.lit("appealed_from").alias("relation"), F.lit(1.0).alias("confidence"), F.lit("resolution_link").alias("method"))
+    return mirrored(edges.distinct())
+
+
+def near_in_time(rows: DataFrame, group: str, key: str, day: str, days: int) -> DataFrame:
+    """(first, second): pairs of a group's rows at most so many days apart, the smaller key first.
+
+    A range join as an equi-join on group and slot of days, each row also in its neighbours' slots.
+    """
+    slot = F.floor(F.unix_date(day) / (days + 1))
+    own = rows.select(F.col(group).alias("_g"), F.col(key).alias("_key"), F.col(day).alias("_day"), slot.alias("_slot"))
+    a = own.select("_g", F.col("_key").alias("first"), F.col("_day").alias("_one"), F.explode(F.array(F.col("_slot") - 1, F.col("_slot"), F.col("_slot") + 1)).alias("_slot"))
+    b = own.select("_g", F.col("_key").alias("second"), F.col("_day").alias("_two"), "_slot")
+    return a.join(b, ["_g", "_slot"]).where((F.col("first") < F.col("second")) & (F.abs(F.datediff("_one", "_two")) <= days)).select("first", "second")
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Shared tokens, with repeats, over the smaller number of tokens."""
     times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
@@ -168,7 +193,7 @@ def set_overlap(a: Column, b: Column) -> Column:
 
 
 def petition_links(petitions: DataFrame, rulings: DataFrame) -> DataFrame:
-    """The decision each petition is about (J18, T8): same court and number, the latest before the petition, narrowed by verdict word when that leaves one.
+    """The decision each petition is about (J18, T8): same court and number, the latest before the petition, narrowed by verdict word when that leaves one; several of one day are ambiguous and give nothing.
 
     petitions: doc_id, target_court, target_number, target_verdict, document_date.
     """
@@ -176,8 +201,10 @@ def petition_links(petitions: DataFrame, rulings: DataFrame) -> DataFrame:
     rows = petitions.select(F.col("doc_id").alias("from_doc_id"), "target_court", C.norm_case_number(F.col("target_number")).alias("_number"), "target_verdict", "document_date")
     found = rows.join(side, ["target_court", "_number"]).where("document_date is null or _date is null or _date < document_date")
     spoken = F.coalesce(F.col("_verdict") == F.col("target_verdict"), F.lit(False))
-    pick = F.max_by("to_doc_id", F.struct(spoken.cast("int"), "_date", "to_doc_id"))
-    return found.groupBy("from_doc_id").agg(pick.alias("to_doc_id")).select("from_doc_id", "to_doc_id", F.lit("leyfisbeidni_um").alias("relation"), F.lit(1.0).alias("confidence"), F.lit("casenum").alias("method"))
+    found = found.withColumn("_place", F.struct(spoken.cast("int").alias("spoken"), "_date"))
+    best = found.groupBy("from_doc_id").agg(F.max("_place").alias("_best"))
+    first = found.join(best, "from_doc_id").where(F.col("_place").eqNullSafe(F.col("_best"))).groupBy("from_doc_id").agg(F.min("to_doc_id").alias("to_doc_id"), F.count_distinct("to_doc_id").alias("_n"))
+    return first.where("_n = 1").select("from_doc_id", "to_doc_id", F.lit("leyfisbeidni_um").alias("relation"), F.lit(1.0).alias("confidence"), F.lit("casenum").alias("method"))
 
 
 def petition_judgments(petition_edges: DataFrame, appeals: DataFrame, dates: DataFrame) -> DataFrame:

@@ -66,10 +66,16 @@ def set_null(children: DataFrame, parents: DataFrame, child_key: str, parent_key
 
 
 def merge_json(old, new):
-    """Keys of the new JSON object over those of the old one; null is an empty object (K9)."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """Keys of the new JSON object over those of the old one, values as they are; null is an empty object (K9).
+
+    The old object's own keys come first, and the keys of each are sorted.
+    """
+    as_map = lambda c: F.coalesce(F.variant_get(F.parse_json(c), "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     a, b = as_map(old), as_map(new)
-    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+    kept = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
+    # entries are written one by one, since a null value is a value here
+    names = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"(?s)^\[(.*)\]$", 1), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(F.concat(names(kept), names(b)), ","), F.lit("}"))
 
 
 def move_source(rows: DataFrame, wrong: str, right: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.text import provision_query
+from ..functions.text import headline, provision_query, snippet
 
 MODES = {"keyword", "exact", "prefix", "substring", "any", "proximity", "regex"}
 RELAX_BELOW, RELAX_CAP, CANDIDATES, PAGE_MOST = 10, 300, 2000, 100
@@ -164,7 +164,8 @@ def matched(index: DataFrame, query: dict[str, int], key: str | list[str] = "doc
     rows = index.where(F.col("lemma").isin(list(query)))
     part = weight[F.col("lemma")] * (1 + F.ln(F.col("tf").cast("double")))
     rows = rows.groupBy(*keys).agg(F.sum(weight[F.col("lemma")]).cast("int").alias("m"), F.sum(part).alias("_s"))
-    return rows.withColumn("rank", F.col("_s") / (F.col("_s") + 1)).drop("_s")
+    # rounded, so that equal scores stay equal whatever the order of summing
+    return rows.withColumn("rank", F.round(F.col("_s") / (F.col("_s") + 1), 9)).drop("_s")
 
 
 def tiered(docs: DataFrame, index: DataFrame, request: Request, lemmas: list[str]) -> tuple[DataFrame, int, bool]:
@@ -179,9 +180,16 @@ def tiered(docs: DataFrame, index: DataFrame, request: Request, lemmas: list[str
     if not relaxed:
         order = [F.desc("doc_rank"), F.asc("doc_id")] if request.sort == "relevance" else C.rank_order(request.strategy, request.sort)
         return found.where("tier = 0").orderBy(*order).limit(CANDIDATES).select("doc_id", "tier", "doc_rank", "document_date"), strict, False
-    newest = Window.partitionBy("tier").orderBy(F.desc_nulls_last("document_date"), "doc_id")
-    capped = found.withColumn("_k", F.row_number().over(newest)).where(f"tier = 0 or _k <= {RELAX_CAP}")
-    return capped.orderBy("tier", F.desc_nulls_last("document_date"), "doc_id").limit(RELAX_CAP).select("doc_id", "tier", "doc_rank", "document_date"), strict, True
+    return relaxed_cut(found, request.sort).select("doc_id", "tier", "doc_rank", "document_date"), strict, True
+
+
+def relaxed_cut(found: DataFrame, sort: str = "relevance", date: str = "document_date") -> DataFrame:
+    """The first RELAX_CAP rows by tier and date (T5): the newest of each, or the oldest when asked for.
+
+    A tier can't fill more of the cut than the cut holds, so its own cap needs no window.
+    """
+    day = F.asc_nulls_last(date) if sort == "oldest" else F.desc_nulls_last(date)
+    return found.orderBy("tier", day, "doc_id").limit(RELAX_CAP)
 
 
 def best_passages(candidates: DataFrame, passage_index: DataFrame, query: dict[str, int]) -> DataFrame:
@@ -232,20 +240,21 @@ def paged(ordered: DataFrame, page: int, size: int) -> DataFrame:
 
 
 def within(first: Column, second: Column, n: int) -> Column:
-    """Some positions of the two arrays differ by 1 to n, in either order."""
-    return F.exists(first, lambda a: F.exists(second, lambda b: (F.abs(a - b) >= 1) & (F.abs(a - b) <= n)))
+    """Some positions of the two arrays differ by 1 to n, in either order: one lookup for each place near the second."""
+    near = F.flatten(F.transform(second, lambda b: F.filter(F.sequence(b - n, b + n), lambda x: x != b)))
+    return F.arrays_overlap(first, near)
 
 
-def proximity(index: DataFrame, lemmas: list[str], n: int, key: str = "doc_id") -> DataFrame:
+def proximity(index: DataFrame, lemmas: list[str], n: int, key: str | list[str] = "doc_id") -> DataFrame:
     """Keys whose consecutive lemmas all stand within n positions of each other; one lemma only needs to occur."""
-    distinct = list(dict.fromkeys(lemmas))
+    distinct, keys = list(dict.fromkeys(lemmas)), [key] if isinstance(key, str) else key
     at = {w: F.max(F.when(F.col("lemma") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(distinct)}
-    rows = index.where(F.col("lemma").isin(distinct)).groupBy(key).agg(*at.values())
+    rows = index.where(F.col("lemma").isin(distinct)).groupBy(*keys).agg(*at.values())
     for k in range(len(distinct)):
         rows = rows.where(F.col(f"p{k}").isNotNull())
     for a, b in zip(lemmas, lemmas[1:]):
         rows = rows.where(within(F.col(f"p{distinct.index(a)}"), F.col(f"p{distinct.index(b)}"), n))
-    return rows.select(key)
+    return rows.select(*keys)
 
 
 def field_column(name: str) -> Column:
@@ -289,7 +298,12 @@ def search(docs: DataFrame, index: DataFrame, passage_index: DataFrame, request:
     if request.mode == "proximity":
         lemmas = query_lemmas(request.q, lemma_of)
         found = docs.where(request.filters())
-        return browse(found.join(proximity(index, lemmas, request.within), "doc_id", "left_semi") if lemmas else found, request)
+        if lemmas and request.section_kinds:  # then one passage of those kinds must hold them
+            own = passage_index.where(F.col("section_kind").isin(request.section_kinds))
+            near = proximity(own, lemmas, request.within, ["doc_id", "ordinal"])
+        elif lemmas:
+            near = proximity(index, lemmas, request.within)
+        return browse(found.join(near, "doc_id", "left_semi") if lemmas else found, request)
     return browse(docs.where(request.filters() & text_filter(request.mode, request.q, request.fields)), request)
 
 
@@ -333,10 +347,53 @@ def passage_context(passages: DataFrame, doc_id, ordinal: int, before: int = 2,
     return passage_window(passages, doc_id, max(0, ordinal - before), ordinal + after)
 
 
+def sections(passages: DataFrame) -> DataFrame:
+    """Sections of all documents with their first and last passage."""
+    return passages.groupBy("doc_id", "layer", "section_kind").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("n"))
+
+
 def outline(passages: DataFrame, doc_id) -> DataFrame:
-    """Sections of a document with their first and last passage."""
-    rows = passages.where(F.col("doc_id") == doc_id)
-    return rows.groupBy("layer", "section_kind").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("n")).orderBy("first")
+    """Sections of a document, in order."""
+    return sections(passages.where(F.col("doc_id") == doc_id)).drop("doc_id").orderBy("first")
+
+
+def next_ordinal(passages: DataFrame, doc_id, lo: int, section_kinds: list[str] | None = None, layer: str | None = None) -> DataFrame:
+    """The least ordinal from lo on that passes the filters, or null: where the next page begins."""
+    rows = passages.where((F.col("doc_id") == doc_id) & (F.col("ordinal") >= lo))
+    if section_kinds:
+        rows = rows.where(F.col("section_kind").isin(section_kinds))
+    if layer:
+        rows = rows.where(F.col("layer") == layer)
+    return rows.agg(F.min("ordinal").alias("ordinal"))
+
+
+#: Characters of each text that a snippet is looked for in.
+SNIPPET_HEAD = 100_000
+
+
+def with_snippets(page: DataFrame, docs: DataFrame, passages: DataFrame, request: Request, lemma_of: dict[str, str] | None = None) -> DataFrame:
+    """A page of hits with citation, anchor and snippet.
+
+    Keyword hits show the best passage, its wanted words marked; other modes show the first
+    match in the text, or how it begins.  A page has at most PAGE_MOST rows.
+    """
+    from .builders import per_document
+
+    c = F.col
+    cite = C.ruling_citation(c("court"), c("case_number"), c("document_date"), c("verdict_type"))
+    if "best_ordinal" in page.columns:
+        wanted = set(query_lemmas(request.q, lemma_of))
+        label = C.anchor(c("layer"), c("para_from"), c("para_to"), c("section_path"), c("ordinal"), c("page_from"), c("page_to"))
+        own = passages.select("doc_id", "text", label.alias("anchor"), F.col("ordinal").alias("best_ordinal"))
+        rows = page.select("doc_id", "best_ordinal").join(own, ["doc_id", "best_ordinal"]).join(docs.select("doc_id", cite.alias("citation")), "doc_id")
+        mark = lambda d: headline(d["text"], wanted, lemma_of=lemma_of)
+    else:
+        head = F.concat_ws("\n", F.left("body_text", F.lit(SNIPPET_HEAD)), F.left("lower_body_text", F.lit(SNIPPET_HEAD)))
+        rows = page.select("doc_id", head.alias("text"), "summary", F.lit(None).cast("string").alias("anchor"), cite.alias("citation"))
+        words = [re.escape(w) for w in request.q.split()]
+        pattern = re.compile(re.sub(r"\\[mM]", r"\\b", request.q) if request.mode == "regex" else "|".join(words) or "(?!)", re.I)
+        mark = lambda d: snippet(d["text"], pattern, d["summary"])
+    return per_document(rows, lambda d: [{"doc_id": d["doc_id"], "citation": d["citation"], "anchor": d["anchor"], "snippet": mark(d)}], "doc_id string, citation string, anchor string, snippet string").drop("error")
 
 
 def catalog(sources: DataFrame, docs: DataFrame) -> DataFrame:
@@ -348,6 +405,6 @@ def catalog(sources: DataFrame, docs: DataFrame) -> DataFrame:
 def provision_of(statutes: DataFrame, law: str, gr: int, sfx: str | None = None, mgr: int | None = None) -> DataFrame:
     """Text of an article, or of one of its paragraphs, from nested provisions."""
     same = lambda p: (p["num"] == gr) & F.coalesce(p["suffix"], F.lit("")).eqNullSafe(F.lit(sfx or ""))
-    article = F.filter("provisions", same)[0]
-    text = article["text"] if mgr is None else F.filter(article["sub"], lambda s: s["num"] == mgr)[0]["text"]
+    article = F.get(F.filter("provisions", same), F.lit(0))
+    text = article["text"] if mgr is None else F.get(F.filter(article["sub"], lambda s: s["num"] == mgr), F.lit(0))["text"]
     return statutes.where(F.col("law") == law).select("law", F.lit(gr).alias("gr"), text.alias("text")).where(F.col("text").isNotNull())

@@ -1,109 +1,100 @@
-"""Ad-hoc read-only SQL: a guard on the text, a row cap, short cells and a time limit."""
+"""Ad-hoc read-only SQL: a guard on the parsed plan, a row cap, short cells and a time limit.
+
+The guard doesn't look at the text.  Spark's parser makes a plan of it, and every node,
+relation, table function and function of that plan, subqueries included, must be known to
+read only: so names such as ``add`` or ``load`` are as good as others, and what a statement
+hides in comments or quotes doesn't count.
+"""
 
 from __future__ import annotations
 
 import datetime
 import decimal
 import math
-import re
 import threading
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import truncate
 
 ROWS, CELL_CHARS, SECONDS = 1000, 500, 15
-#: How a reading statement begins, what it must not hold, and functions it must not call.
-READS = {"SELECT", "WITH", "EXPLAIN", "SHOW", "TABLE", "VALUES"}
-WRITES = "INSERT UPDATE DELETE MERGE DROP ALTER CREATE TRUNCATE GRANT REVOKE COPY VACUUM REINDEX CLUSTER LOCK CALL DO".split()
-SPARK_WRITES = "REFRESH CACHE UNCACHE ANALYZE LOAD MSCK ADD".split()
-FUNCTIONS = "java_method reflect try_reflect input_file_name pg_sleep pg_read_file pg_ls_dir set_config dblink".split()
+#: Plan nodes that read, compute or show. Scripts, commands, writes and compound statements aren't here.
+NODES = set(
+    "Aggregate CTERelationDef CTERelationRef CurrentNamespace Deduplicate Distinct Except Expand ExplainCommand Filter Generate GlobalLimit GroupingSets "
+    "Intersect Join LateralJoin LocalLimit LocalRelation NamedParametersHolder Offset OneRowRelation PipeOperator Pivot Project Range Sample ShowColumns "
+    "ShowFunctions ShowNamespaces ShowTables ShowViews Sort SubqueryAlias Tail Union UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedNamespace "
+    "UnresolvedPivot UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTable UnresolvedTableOrView UnresolvedTableValuedFunction "
+    "UnresolvedUnpivot UnresolvedWith Unpivot Window WithWindowDefinition".split()
+)
+#: Table functions that make rows of their arguments.
+TABLE_FUNCTIONS = set("explode explode_outer inline inline_outer json_tuple posexplode posexplode_outer range stack variant_explode variant_explode_outer".split())
+#: Functions that reach outside the data: other code, files, the session.
+OUTSIDE = set("input_file_block_length input_file_block_start input_file_name java_method raise_error reflect try_reflect".split())
 
 
 class Rejected(ValueError):
     """A statement the guard doesn't let through."""
 
 
-#: What hides text from the guard: line and block comments, quoted text, names and dollar quotes.
-_OPEN = re.compile(r"--|/\*|[eE]'|'|\"|`|\$(?:[A-Za-z_]\w*)?\$")
-
-
-def masked(sql: str) -> str:
-    """The statement at its own length, with comments blank and the insides of quotes filled with x."""
-    out, at = [], 0
-    while m := _OPEN.search(sql, at):
-        out.append(sql[at : m.start()])
-        start, mark = m.start(), m[0]
-        if mark in ("e'", "E'") and start and (sql[start - 1].isalnum() or sql[start - 1] == "_"):
-            out.append(mark[0])
-            start, mark = start + 1, "'"
-        body = start + len(mark)
-        if mark == "--":
-            end = sql.find("\n", body)
-            end = len(sql) if end < 0 else end
-            out.append(" " * (end - start))
-        elif mark == "/*":
-            end = _block_end(sql, body)
-            out.append(" " * (end - start))
-        else:
-            end = _quote_end(sql, body, mark)
-            close = mark if mark.startswith("$") else mark[-1]
-            out.append(mark + "x" * (end - body - len(close)) + close)
-        at = end
-    return "".join(out) + sql[at:]
-
-
-def _block_end(sql: str, at: int) -> int:
-    depth = 1
-    for m in re.compile(r"/\*|\*/").finditer(sql, at):
-        depth += 1 if m[0] == "/*" else -1
-        if not depth:
-            return m.end()
-    raise Rejected("a comment isn't closed")
-
-
-def _quote_end(sql: str, at: int, mark: str) -> int:
-    close = mark if mark.startswith("$") else mark[-1]
-    escaped = mark in ("e'", "E'")
-    while at < len(sql):
-        if escaped and sql[at] == "\\":
-            at += 2
-        elif sql.startswith(close, at):
-            if close == "'" and sql.startswith("''", at):
-                at += 2
-                continue
-            return at + len(close)
-        else:
-            at += 1
-    raise Rejected("a quote isn't closed")
-
-
-def checked(sql: str | None) -> str:
-    """The statement without outer blanks, trailing comment and semicolon; raises Rejected."""
+def _each(items) -> Iterator:
+    """The elements of a Scala collection."""
+    it = items.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _name(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _check_expression(spark: SparkSession, e) -> None:
+    kind = _name(e)
+    if kind == "UnresolvedFunction":
+        name = list(_each(e.nameParts()))[-1].lower()
+        if name in OUTSIDE:
+            raise Rejected(f"{name} is not allowed")
+    if "Subquery" in kind or kind in ("Exists", "ListQuery"):
+        _check_plan(spark, e.plan())
+    for child in _each(e.children()):
+        _check_expression(spark, child)
+
+
+def _check_plan(spark: SparkSession, plan) -> None:
+    kind = _name(plan)
+    if kind not in NODES:
+        raise Rejected(f"{kind} is not allowed")
+    if kind in ("UnresolvedRelation", "UnresolvedTable", "UnresolvedTableOrView"):
+        parts = list(_each(plan.multipartIdentifier()))
+        # a name of one part is a table, a view or a common table expression; longer ones may be format.`path`
+        if len(parts) > 1 and not spark.catalog.tableExists(".".join(f"`{x.replace('`', '``')}`" for x in parts)):
+            raise Rejected(f"no table {'.'.join(parts)}")
+    if kind == "UnresolvedTableValuedFunction":
+        name = list(_each(plan.name()))[-1].lower()
+        if name not in TABLE_FUNCTIONS:
+            raise Rejected(f"{name} is not allowed")
+    if kind == "ExplainCommand":
+        _check_plan(spark, plan.logicalPlan())
+        return
+    for e in _each(plan.expressions()):
+        _check_expression(spark, e)
+    for part in (plan.children(), plan.innerChildren()):
+        for child in _each(part):
+            _check_plan(spark, child)
+
+
+def checked(spark: SparkSession, sql: str | None) -> str:
+    """The statement, if it is one that only reads; raises Rejected."""
     if not sql or not sql.strip():
         raise Rejected("the statement is empty")
-    bare = masked(sql)
-    end = len(bare.rstrip())
-    if bare[:end].endswith(";"):
-        end = len(bare[: end - 1].rstrip())
-    start = len(bare) - len(bare.lstrip())
-    start = min(start, end)
-    body = bare[start:end]
-    if not body.strip():
-        raise Rejected("the statement is empty")
-    if ";" in body:
-        raise Rejected("only one statement at a time")
-    first = re.match(r"[(\s]*([A-Za-z]+)", body)
-    if not first or first[1].upper() not in READS:
-        raise Rejected("only reading statements: " + ", ".join(sorted(READS)))
-    if found := re.search(rf"\b({'|'.join(WRITES + SPARK_WRITES)})\b", body, re.I):
-        raise Rejected(f"{found[1].upper()} is not allowed")
-    if found := re.search(rf"\b({'|'.join(FUNCTIONS)})\s*\(", body, re.I):
-        raise Rejected(f"{found[1]} is not allowed")
-    if re.search(r"\bSELECT\b(?:(?!\bFROM\b).)*?\bINTO\b", body, re.I | re.S):
-        raise Rejected("SELECT INTO is not allowed")
-    return sql[len(sql[:start]) : end]
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as wrong:
+        raise Rejected(f"the statement can't be parsed: {str(wrong).strip().splitlines()[0]}") from wrong
+    _check_plan(spark, plan)
+    return sql
 
 
 def cell(value, most: int = CELL_CHARS):
@@ -130,7 +121,7 @@ class Answer:
 
 def plan(spark: SparkSession, sql: str, rows: int = ROWS) -> DataFrame:
     """The checked statement, limited to one row more than may be shown."""
-    return spark.sql(checked(sql)).limit(max(1, min(ROWS, rows)) + 1)
+    return spark.sql(checked(spark, sql)).limit(max(1, min(ROWS, rows)) + 1)
 
 
 def run(spark: SparkSession, sql: str, rows: int = ROWS, seconds: float = SECONDS) -> Answer:

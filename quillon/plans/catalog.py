@@ -89,9 +89,7 @@ def keyword_tiered(spark, sf_dir):
 def keyword_relaxed_page(spark, sf_dir):
     """The relaxed candidate cut: 300 a tier by date, then 300 in all (the cut is the operator)."""
     rows = documents(spark, sf_dir).withColumn("m", held()).where("m > 0").withColumn("tier", search.tier(F.col("m"), len(WORDS)))
-    w = Window.partitionBy("tier").orderBy(F.desc_nulls_last("n_chars"), "doc_id")
-    capped = rows.withColumn("k", F.row_number().over(w)).where("tier = 0 or k <= 300")
-    return capped.orderBy("tier", F.desc_nulls_last("n_chars"), "doc_id").limit(search.RELAX_CAP).select("doc_id", "tier")
+    return search.relaxed_cut(rows, date="n_chars").select("doc_id", "tier")
 
 
 @query(f"SELECT source AS source_short, count(*) FILTER (WHERE len(list_intersect({TOKENS_SQL}, [{LISTED}])) = 4) < 10 AS relax FROM documents GROUP BY 1")
@@ -101,10 +99,10 @@ def relax_decision(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS lemma, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}]+'), 1) AS pos FROM documents),
-    a AS (SELECT * FROM t WHERE lemma = 'the'), b AS (SELECT * FROM t WHERE lemma = 'of'), c AS (SELECT * FROM t WHERE lemma = 'that')
-    SELECT doc_id FROM (SELECT DISTINCT a.doc_id FROM a JOIN b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) BETWEEN 1 AND 3)
-    WHERE doc_id IN (SELECT b.doc_id FROM b JOIN c ON b.doc_id = c.doc_id AND abs(b.pos - c.pos) BETWEEN 1 AND 3)"""
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}]+') AS w FROM documents),
+    p AS (SELECT doc_id, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the') AS a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'of') AS b, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'that') AS c FROM t),
+    n AS (SELECT doc_id, a, b, flatten(list_transform(b, lambda x: [x - 3, x - 2, x - 1, x + 1, x + 2, x + 3])) AS near_b, flatten(list_transform(c, lambda x: [x - 3, x - 2, x - 1, x + 1, x + 2, x + 3])) AS near_c FROM p)
+    SELECT doc_id FROM n WHERE len(list_intersect(a, near_b)) > 0 AND len(list_intersect(b, near_c)) > 0"""
 )
 def proximity_within_n(spark, sf_dir):
     """Positions of the query's words only are kept, inside each row: no explode and no shuffle."""
@@ -137,7 +135,8 @@ def substring_any_field(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(idiot|sch[aeiou]+n|ción\\s+de)', 'i')")
 def regex_alternatives(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(C.java_regex(r"(idiot|sch[aeiou]+n|ción\s+de)"))).select("doc_id")
+    rows = table(spark, sf_dir, "documents").withColumnRenamed("text", "body_text")
+    return rows.where(search.text_filter("regex", r"(idiot|sch[aeiou]+n|ción\s+de)", ["body_text"])).select("doc_id")
 
 
 @query("SELECT source AS source_short, lang AS verdict_type, CAST(count(*) AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'the') GROUP BY 1, 2")
@@ -188,11 +187,8 @@ def passage_best_per_doc(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), "text")
     index = builders.doc_lemmas(rows.withColumn("key", F.struct("doc_id", "ordinal")), key="key").select("key.doc_id", "key.ordinal", "lemma", "tf")
     everyone = rows.select("doc_id").distinct().select("doc_id", F.lit(0).alias("tier"), F.lit(0.0).alias("doc_rank"), F.lit(None).cast("date").alias("document_date"))
-    n = sum(PASSAGE_WORDS.values())
-    hits = search.matched(index, PASSAGE_WORDS, ["doc_id", "ordinal"]).withColumn("rank", F.round("rank", 9)).join(everyone, "doc_id")
-    w = Window.partitionBy("doc_id")
-    kept = hits.withColumn("colocated", F.max(F.col("m") == n).over(w)).where((F.col("m") == n) | ~F.col("colocated"))
-    return kept.groupBy("doc_id", "colocated").agg(F.round(F.max("rank"), 6).alias("best_rank"), F.count("*").alias("match_count"), F.max_by("ordinal", F.struct(F.col("rank"), -F.col("ordinal"))).alias("best_ordinal"))
+    hits = search.best_passages(everyone, index, PASSAGE_WORDS)
+    return hits.select("doc_id", "colocated", F.round("best_rank", 6).alias("best_rank"), "match_count", "best_ordinal")
 
 
 @query(
@@ -208,7 +204,8 @@ def passage_context(spark, sf_dir):
 
 @query("SELECT conv_id AS doc_id, role AS section_kind, min(turn) AS first, max(turn) AS last, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY 1, 2")
 def doc_outline(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id"), F.col("role").alias("section_kind")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("body").alias("layer"), F.col("role").alias("section_kind"), F.col("turn").alias("ordinal"))
+    return search.sections(rows).drop("layer")
 
 
 @query(
@@ -216,11 +213,11 @@ def doc_outline(spark, sf_dir):
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts"""
 )
 def asof_passage(spark, sf_dir):
-    """The last view at or before each purchase of a user: both sides sorted together, the id carried forward."""
-    rows = table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')")
-    upto = Window.partitionBy("user_id").orderBy("ts", F.desc("event_type"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.withColumn("view_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(upto))
-    return carried.where("event_type = 'purchase'").select("event_id", "view_id")
+    """The last view at or before each purchase of a user: views as passages, purchases as citations."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.lit("body").alias("layer"), F.col("ts").alias("char_start"))
+    views = rows.where("event_type = 'view'").select(F.col("user_id").alias("doc_id"), "layer", "char_start", F.col("event_id").alias("ordinal"))
+    bought = rows.where("event_type = 'purchase'").select(F.col("user_id").alias("from_doc_id"), "layer", "char_start", "event_id")
+    return graph.passage_of_citation(bought, views, ["event_id"]).select("event_id", F.col("ordinal").alias("view_id"))
 
 
 @query(
@@ -229,8 +226,8 @@ def asof_passage(spark, sf_dir):
 )
 def distinct_on_citation(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
-    best = F.struct((F.col("l_returnflag") != "R").alias("late"), "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
-    return rows.groupBy("l_partkey").agg(F.min(best).alias("b")).select("l_partkey", "b.l_orderkey", "b.l_linenumber")
+    order = [F.desc(F.col("l_returnflag") == "R"), *map(F.asc, ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"))]
+    return quality.keep_newest(rows, ["l_partkey"], order).select("l_partkey", "l_orderkey", "l_linenumber")
 
 
 @query(
@@ -253,7 +250,8 @@ def in_degree(spark, sf_dir):
 
 @query("SELECT l_suppkey AS from_doc_id, l_partkey AS to_doc_id, max(l_discount) AS confidence FROM lineitem GROUP BY 1, 2")
 def edge_max_confidence(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("from_doc_id"), F.col("l_partkey").alias("to_doc_id")).agg(F.max("l_discount").alias("confidence"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("from_doc_id"), F.col("l_partkey").alias("to_doc_id"), F.col("l_discount").alias("confidence"))
+    return graph.cites_edges(rows.withColumns({"status": F.lit("resolved"), "layer": F.lit("body")})).select("from_doc_id", "to_doc_id", "confidence")
 
 
 NATION_EDGES_SQL = """SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -277,9 +275,8 @@ def mirror_edge_missing(spark, sf_dir):
 
 @query(f"WITH e AS ({NATION_EDGES_SQL}) SELECT DISTINCT x.a, y.b FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b AND NOT EXISTS (SELECT 1 FROM e d WHERE d.a = x.a AND d.b = y.b)")
 def chain_two_hop(spark, sf_dir):
-    e = nation_edges(spark, sf_dir)
-    hop = e.select("a", F.col("b").alias("mid")).join(e.select(F.col("a").alias("mid"), "b"), "mid").select("a", "b").where("a <> b").distinct()
-    return hop.join(e, ["a", "b"], "left_anti")
+    e = nation_edges(spark, sf_dir).select(F.col("a").alias("from_doc_id"), F.col("b").alias("to_doc_id"), F.lit("appealed_to").alias("relation"))
+    return graph.chained(e).select(F.col("from_doc_id").alias("a"), F.col("to_doc_id").alias("b"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
@@ -295,11 +292,8 @@ def dup_relation_pair(spark, sf_dir):
 
 @query("SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 14")
 def range_window_candidates(spark, sf_dir):
-    """A range join as an equi-join on customer and fortnight, each row also in its neighbours' fortnights."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day")).withColumn("slot", F.floor(F.unix_date("day") / 15))
-    a = rows.select(F.col("o_orderkey").alias("first"), "o_custkey", F.col("day").alias("d1"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    b = rows.select(F.col("o_orderkey").alias("second"), "o_custkey", F.col("day").alias("d2"), "slot")
-    return a.join(b, ["o_custkey", "slot"]).where((F.col("first") < F.col("second")) & (F.abs(F.datediff("d1", "d2")) <= 14)).select("first", "second")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    return graph.near_in_time(rows, "o_custkey", "o_orderkey", "day", 14)
 
 
 @query(
@@ -309,12 +303,9 @@ def range_window_candidates(spark, sf_dir):
     FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.w = b.w JOIN s x ON x.conv_id = a.conv_id AND x.turn = a.turn JOIN s y ON y.conv_id = a.conv_id AND y.turn = a.turn + 1 GROUP BY 1, 2"""
 )
 def overlap_coefficient(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    counts = rows.groupBy("conv_id", "turn", "w").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("conv_id", "turn").agg(F.sum("n").alias("total"))
-    common = counts.join(counts.select("conv_id", (F.col("turn") - 1).alias("turn"), "w", F.col("n").alias("n2")), ["conv_id", "turn", "w"]).groupBy("conv_id", "turn").agg(F.sum(F.least("n", "n2")).alias("both"))
-    both = common.join(sizes, ["conv_id", "turn"]).join(sizes.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("total").alias("total2")), ["conv_id", "turn"])
-    return both.select("conv_id", "turn", F.round(F.col("both") / F.least("total", "total2"), 4).alias("overlap"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    both = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v")), ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.round(graph.multiset_overlap(F.col("w"), F.col("v")), 4).alias("overlap")).where("overlap > 0")
 
 
 @query("SELECT md5(text) AS key, max(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -402,7 +393,7 @@ def json_expand(spark, sf_dir):
 
 @query("SELECT id, json_merge_patch(coalesce(old_json, '{}'), coalesce(new_json, '{}'))::VARCHAR AS merged FROM (" + fx.MERGES + ")")
 def json_merge(spark, sf_dir):
-    return spark.sql(fx.MERGES).select("id", merge.merge_json(F.col("old_json"), F.col("new_json")).alias("merged")).withColumn("merged", F.when(F.col("id") == 1, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json("merged", "map<string,string>")))))).otherwise(F.col("merged")))
+    return spark.sql(fx.MERGES).select("id", merge.merge_json(F.col("old_json"), F.col("new_json")).alias("merged"))
 
 
 @query("SELECT source AS source_short, CAST(count(*) AS BIGINT) AS with_text, CAST(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS BIGINT) AS with_passages FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -558,10 +549,11 @@ def threshold_table(spark, sf_dir):
     return quality.thresholds(table(spark, sf_dir, "lineitem").withColumn("good", F.col("l_returnflag") == "R"), "l_discount", [0.02, 0.05, 0.08], "good")
 
 
-@query("SELECT lang AS verdict_type, source AS source_short, CAST(count(*) AS BIGINT) AS n, md5(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT lang, source, md5(coalesce(text, '') || chr(31) || '' || chr(31) || coalesce(source, '')) AS h FROM documents) GROUP BY 1, 2")
+@query("SELECT lang AS verdict_type, source AS source_short, CAST(count(*) AS BIGINT) AS n, min(h) AS least, max(h) AS most, CAST(sum(ascii(h[1]) * 65536 + ascii(h[2]) * 256 + ascii(h[3])) AS BIGINT) AS total FROM (SELECT lang, source, md5(coalesce(text, '') || chr(31) || '' || chr(31) || coalesce(source, '')) AS h FROM documents) GROUP BY 1, 2")
 def text_hashes(spark, sf_dir):
     h = C.text_hash(F.col("text"), F.lit(None).cast("string"), F.col("source_short"))
-    return documents(spark, sf_dir).withColumn("h", h).groupBy("verdict_type", "source_short").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("digest"))
+    letters = F.expr("ascii(substr(h, 1, 1)) * 65536L + ascii(substr(h, 2, 1)) * 256L + ascii(substr(h, 3, 1))")
+    return documents(spark, sf_dir).withColumn("h", h).groupBy("verdict_type", "source_short").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.max("h").alias("most"), F.sum(letters).cast("long").alias("total"))
 
 
 @query(
@@ -573,9 +565,9 @@ def language_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(C.language(F.col("text")).alias("lang")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT regexp_replace(substr(props, 1, 20), '[0-9]', '#', 'g') AS shape, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+@query("SELECT regexp_replace(props, '[0-9]', '#', 'g') AS shape, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def number_shapes(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(quality.shape(F.substring("props", 1, 20)).alias("shape")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy(quality.shape(F.col("props")).alias("shape")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
@@ -651,8 +643,11 @@ def page_maps(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import rules  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

@@ -114,4 +114,11 @@ ARTICLE_ROWS = values(
     "4, 7, 1, 2, true, NULL, true, false",
 )
 
-MERGES = values("id INT, old_json VARCHAR(60), new_json VARCHAR(60)", "1, '{\"a\":\"1\",\"b\":\"2\"}', '{\"b\":\"3\"}'", "2, NULL, '{\"a\":\"1\"}'", "3, '{\"a\":\"1\"}', NULL")
+MERGES = values(
+    "id INT, old_json VARCHAR(60), new_json VARCHAR(60)",
+    "1, '{\"a\":\"1\",\"b\":\"2\"}', '{\"b\":\"3\"}'",
+    "2, NULL, '{\"a\":\"1\"}'",
+    "3, '{\"a\":\"1\"}', NULL",
+    "4, '{\"a\":1,\"b\":true}', '{\"a\":2.5,\"c\":{\"d\":[1,2]}}'",
+    "5, '{\"a\":{\"x\":1},\"b\":\"t\"}', '{\"b\":false}'",
+)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import statutes
@@ -88,3 +88,38 @@ def silver(raw: DataFrame, source: str, alternatives: dict[str, list[str]] | Non
         default = (defaults or {}).get(name)
         cols.append(F.coalesce(*there, F.lit(default).cast("string")).alias(name))
     return raw.select(*cols)
+
+
+def crawl_gaps(landed: DataFrame, key: str = "id", stop_after: int = 20) -> DataFrame:
+    """(first, last) of the ids that a sequential crawl hasn't got, and whether it would have stopped there.
+
+    Only the ends of gaps, found by joins, are sorted in one window.
+    """
+    ids = landed.select(F.col(key).cast("long").alias("id")).distinct()
+    # the ids that have no successor begin a gap, those without a predecessor end one
+    after = ids.join(ids.select((F.col("id") - 1).alias("id")), "id", "left_anti").select((F.col("id") + 1).alias("first"))
+    before = ids.join(ids.select((F.col("id") + 1).alias("id")), "id", "left_anti").select((F.col("id") - 1).alias("last"))
+    edges = after.select(F.col("first").alias("at"), F.lit(0).alias("side")).union(before.select(F.col("last").alias("at"), F.lit(1).alias("side")))
+    w = Window.orderBy("at", "side")
+    rows = edges.withColumn("last", F.lead("at").over(w)).where("side = 0 and last is not null")
+    return rows.select(F.col("at").alias("first"), "last", (F.col("last") - F.col("at") + 1 >= stop_after).alias("stops"))
+
+
+def pdf_links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """path and link of every PDF that a listing names."""
+    links = F.regexp_extract_all(F.col(html), F.lit(r"(?i)href\s*=\s*[\x22']([^\x22']+\.pdf(?:\?[^\x22']*)?)[\x22']"), F.lit(1))
+    return pages.select("path", F.explode(F.array_distinct(links)).alias("link"))
+
+
+def decoded(raw: DataFrame, column: str = "pdf", to: str = "content") -> DataFrame:
+    """Base64 payloads as bytes; what is no base64 is null."""
+    return raw.withColumn(to, F.try_to_binary(F.col(column), F.lit("base64")))
+
+
+def tiered(raw: DataFrame, tiers: dict[str, list[str]]) -> DataFrame:
+    """Each column from the first of its tiers that holds something, and which one that was."""
+    out = raw
+    for name, columns in tiers.items():
+        held = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.struct(F.col(c).alias("value"), F.lit(c).alias("tier"))) for c in columns]
+        out = out.withColumn("_tier", F.coalesce(*held)).withColumn(name, F.col("_tier.value")).withColumn(f"{name}_from", F.col("_tier.tier")).drop("_tier")
+    return out

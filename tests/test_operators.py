@@ -259,6 +259,8 @@ def test_merges(spark):
     kids = spark.createDataFrame([(1, 1), (2, 9)], "id int, k int")
     assert [r.k for r in merge.set_null(kids, old, "k", "k").orderBy("id").collect()] == [1, None]
     assert [r.id for r in merge.cascade(kids, old, "k", "k").collect()] == [1]
+    typed = spark.createDataFrame([('{"a":1,"b":{"c":[1,true]},"d":"1"}', '{"d":2.5,"e":null,"f":false}')], "o string, n string").select(merge.merge_json(F.col("o"), F.col("n")).alias("j")).first().j
+    assert json.loads(typed) == {"a": 1, "b": {"c": [1, True]}, "d": 2.5, "e": None, "f": False}
     js = spark.createDataFrame([('{"a":"1"}', '{"b":"2","a":"3"}')], "o string, n string").select(merge.merge_json(F.col("o"), F.col("n")).alias("j")).first().j
     assert json.loads(js) == {"a": "3", "b": "2"}
     kw = spark.createDataFrame([(None,), (["x"],), (["y"],)], "k array<string>").select(C.case_type_keywords(F.col("k"), F.lit("x")).alias("k"))
@@ -329,16 +331,24 @@ def test_column_rules(spark):
     assert [tuple(x) for x in got] == [(5, 5), (5, 7), (None, None), (7, 7)]
 
 
-@pytest.mark.parametrize("sql", ["SELECT 'a;b'", "  (SELECT 1) UNION ALL (SELECT 2);", "WITH x AS (SELECT 1) SELECT * FROM x -- end", "SELECT '%delete%', \"update\" FROM t", "/* a /* b */ c */ SELECT 1", "SELECT $$drop table$$", "SELECT e'it\\'s; fine'", "EXPLAIN SELECT 1", "VALUES (1)", "SELECT deleted, updated_at FROM t"])
-def test_guard_accepts(sql):
-    out = sqlguard.checked(sql)
-    assert not out.rstrip().endswith(";") and out.strip() in sql
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT 'a;b'", "  (SELECT 1) UNION ALL (SELECT 2);", "WITH x AS (SELECT 1 AS a) SELECT * FROM x -- end", "SELECT '%delete%', `update` FROM t", "/* a /* b */ c */ SELECT 1", "EXPLAIN SELECT 1", "VALUES (1)", "SHOW TABLES", "TABLE t"]
+    + ["SELECT deleted, updated_at FROM t", "SELECT add FROM t", "SELECT 1 AS load", "SELECT a FROM t WHERE b IN (SELECT c FROM u) AND EXISTS (SELECT 1 FROM v)", "SELECT * FROM range(3) LATERAL VIEW explode(array(1)) AS x", "FROM t SELECT a", "SELECT sum(a) OVER (PARTITION BY b) FROM t LIMIT 3"],
+)
+def test_guard_accepts(spark, sql):
+    assert sqlguard.checked(spark, sql) == sql
 
 
-@pytest.mark.parametrize("sql", [None, "", " ; ", "-- only", "DELETE FROM t", "SELECT 1; SELECT 2", "WITH x AS (DELETE FROM t RETURNING *) SELECT * FROM x", "SELECT * INTO y FROM t", "SELECT pg_sleep(9)", "SELECT reflect('java.lang.System', 'exit')", "SELECT 'open", "SELECT \"open", "/* open", "SELECT $a$ open", "DROP TABLE t", "SELECT 1 /* x */; drop table t"])
-def test_guard_rejects(sql):
+@pytest.mark.parametrize(
+    "sql",
+    [None, "", " ; ", "-- only", "DELETE FROM t", "SELECT 1; SELECT 2", "WITH x AS (DELETE FROM t RETURNING *) SELECT * FROM x", "SELECT * INTO y FROM t", "SELECT reflect('java.lang.System', 'exit')", "SELECT a FROM t WHERE b = (SELECT java_method('java.lang.System', 'gc'))", "SELECT 'open", "/* open", "DROP TABLE t"]
+    + ["SELECT 1 /* x */; drop table t", "SELECT TRANSFORM(a) USING 'cat /etc/hostname' AS (b string) FROM t", "SELECT * FROM text.`/etc/hostname`", "SELECT (SELECT max(a) FROM parquet.`/x`) FROM t", "EXPLAIN SELECT * FROM csv.`/x`", "WITH x AS (SELECT * FROM json.`/x`) SELECT * FROM x", "FROM t INSERT INTO u SELECT *"]
+    + ["CREATE TABLE t AS SELECT 1", "SET spark.a = 1", "ADD JAR 'x'", "EXECUTE IMMEDIATE 'drop table t'", "BEGIN SELECT 1; END", "CACHE TABLE t", "SELECT input_file_name() FROM t"],
+)
+def test_guard_rejects(spark, sql):
     with pytest.raises(sqlguard.Rejected):
-        sqlguard.checked(sql)
+        sqlguard.checked(spark, sql)
 
 
 def test_guarded_run(spark):

@@ -56,7 +56,7 @@ def test_oversize_block_is_cut_at_sentences_then_words():
 
 @pytest.mark.parametrize(
     "heading, kind",
-    [("## Dómsorð:", "domsord"), ("D ó m s o r ð", "domsord"), ("Úrskurðarorð", "domsord"), ("IV. Niðurstaða", "nidurstada"), ("Forsendur og niðurstaða", "nidurstada"), ("Málavextir", "malsatvik"), ("3. Málsástæður stefnda", "malsastaedur"), ("Dómkröfur", "malsmedferd"), ("Annað efni", "annad"), (None, "annad"), ("Ályktunarorð", "domsord")],
+    [("## Dómsorð:", "domsord"), ("D ó m s o r ð", "domsord"), ("Úrskurðarorð", "domsord"), ("IV. Niðurstaða", "nidurstada"), ("Forsendur og niðurstaða", "nidurstada"), ("Málavextir", "malsatvik"), ("3. Málsástæður stefnda", "malsastaedur"), ("Dómkröfur", "malsmedferd"), ("Annað efni", "annad"), ("Kærandi", "annad"), ("Kröfurnar", "annad"), ("Dómsorðig", "annad"), ("DómsorðStefndi greiði", "domsord"), ("Urskurðarorð", "domsord"), ("NIÐURSTAÐA", "nidurstada"), (None, "annad"), ("Ályktunarorð", "domsord")],
 )
 def test_section_kinds(heading, kind):
     assert X.section_kind(heading) == kind
@@ -141,6 +141,31 @@ def test_citations(text, expected):
     assert cited(text) == expected
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("sem áðurnefndur dómur Hæstaréttar í máli nr. 61/2004 og úrskurðarnefndar", [("Hrd.", "61/2004")]),
+        ("dómur Hæstaréttar í áðurnefndu máli nr. 61/2004", [("Hrd.", "61/2004")]),
+        ("Hæstiréttur taldi að stofnunin hefði í máli nr. 61/2004", []),
+        ("í máli Hæstaréttar nr. 000/2004 og laga nr. 61/2004", [("Hrd.", "0/2004")]),
+        ("Hrd. 514/2014; Hrd.1983/1538; Hrd. 2001/2002", [("Hrd.", "514/2014"), ("Hrd.", None), ("Hrd.", "2001/2002")]),
+        ("mál nr. 7/2004 " + "x" * 130 + " dómur Landsréttar", []),
+        ("dómur Landsréttar " + "x" * 130 + " í máli nr. 7/2004", []),
+    ],
+)
+def test_landmarks(text, expected):
+    assert [c[:2] for c in cited(text)] == expected
+
+
+def test_provisions_take_linear_time():
+    import time
+
+    text = "1. gr. laga nr. 1/2000. " * 16_000
+    began = time.perf_counter()
+    assert X.provisions(text) == [p("1/2000", 1)]
+    assert time.perf_counter() - began < 3
+
+
 def test_relative_years():
     text = "Dómur Hæstaréttar 3. maí sl. í máli nr. 5/2020"
     assert cited(text, date(2020, 6, 1))[0][2] == date(2020, 5, 3)
