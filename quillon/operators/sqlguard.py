@@ -56,7 +56,7 @@ def _check_expression(spark: SparkSession, e) -> None:
         name = list(_each(e.nameParts()))[-1].lower()
         if name in OUTSIDE:
             raise Rejected(f"{name} is not allowed")
-    if "Subquery" in kind or kind in ("Exists", "ListQuery"):
+    if kind != "InSubquery" and ("Subquery" in kind or kind in ("Exists", "ListQuery")):  # an IN has its query below it
         _check_plan(spark, e.plan())
     for child in _each(e.children()):
         _check_expression(spark, child)
