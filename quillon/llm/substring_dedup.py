@@ -67,7 +67,8 @@ def node_minimisers(w: tx.Words) -> np.ndarray:
         step = min(span, K - M - span)
         least = np.minimum(least[: max(0, len(least) - step)], least[step:])
         span += step
-    return least
+    # least values crowd near zero: mixed, they fill buckets and bitmap evenly
+    return tx.mix64(least)
 
 
 def starts_of(sorted_keys: list[np.ndarray]) -> np.ndarray:
@@ -422,7 +423,8 @@ def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = _of(own, asked.select("doc_id", "text_key"), "left_semi").join(asked.hint("merge"), ["doc_id", "text_key"])
     told = sources.mapInArrow(tx.mapper(at_sources, CHECKED), ", ".join(f"{f.name} long" for f in CHECKED))
     key = ["source_id", "source_key", "source_start", "n"]
-    told = told.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("d1", "d2", "path", "offset")))
+    # written, so that a span that many documents hold is a skewed key that Spark can split
+    told = saved(told.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("d1", "d2", "path", "offset"))), "substring-told", narrow=True)
     none = [F.lit(None).cast("long").alias(c) for c in ("d1", "d2", "path", "offset")]
     checked = spans.where("not same").join(told, key).select(*SPAN, "d1", "d2", "path", "offset")
     every = spans.where("same").select(*SPAN, *none).unionByName(checked)
