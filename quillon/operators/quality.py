@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 import math
 import re
+import time
 from collections import Counter
+from collections.abc import Callable
 from itertools import combinations
 from os.path import commonprefix
 
@@ -106,6 +108,8 @@ def containment(pages: DataFrame, share: float = 0.5, file_share: float = 0.7) -
 def retrieval_metrics(results: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """recall@k, MRR, hit@1, median and p95 latency, and questions without results.
 
+    recall is the share of a question's expected documents among the first k; hit is the
+    share of questions with any of them there, which is the same for one document each.
     results: question, rank (from 1), doc, ms; expected: question, doc.  p95 is the element
     at int(0.95 * (n - 1)) of the sorted latencies.
     """
@@ -119,6 +123,7 @@ def retrieval_metrics(results: DataFrame, expected: DataFrame, k: int = 10) -> D
     p95 = known.orderBy("ms").offset(max(0, at)).limit(1).agg(F.max("ms").alias("p95"))
     return rows.agg(
         F.avg(F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("recall"),
+        F.avg(F.col("first").isNotNull().cast("double")).alias("hit"),
         F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
         F.avg(F.coalesce((F.col("first") == 1).cast("double"), F.lit(0.0))).alias("hit1"),
         F.median("ms").alias("p50"),
@@ -126,6 +131,30 @@ def retrieval_metrics(results: DataFrame, expected: DataFrame, k: int = 10) -> D
     ).join(F.broadcast(p95))
 
 
+def sweep(expected: DataFrame, settings: list, ask: Callable, k: int = 10) -> DataFrame:
+    """retrieval_metrics of a golden set under each setting, most hits first, with the number of widened searches (Q15).
+
+    expected: question, doc.  ask(question, setting) gives a search's Results.  A golden set
+    is small: its questions are asked one after another, and only a page of ids comes back.
+    """
+    spark = expected.sparkSession
+    questions = [r["question"] for r in expected.select("question").distinct().orderBy("question").collect()]
+    out = None
+    for setting in settings:
+        rows, widened = [], 0
+        for question in questions:
+            began = time.perf_counter()
+            found = ask(question, setting)
+            top = [r["doc_id"] for r in found.page.select("doc_id").collect()][:k]
+            ms = (time.perf_counter() - began) * 1000
+            widened += found.relaxed
+            rows += [(question, n, doc, ms) for n, doc in enumerate(top, 1)] or [(question, 0, None, ms)]
+        results = spark.createDataFrame(rows, "question string, rank int, doc string, ms double")
+        run = retrieval_metrics(results, expected, k).select(F.lit(str(setting)).alias("setting"), "*", F.lit(widened).alias("widened"))
+        out = run if out is None else out.unionByName(run)
+    return out.orderBy(F.desc("hit"), F.desc("mrr"))
+
+
 def sample_per_stratum(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 1) -> DataFrame:
     """n rows of each stratum in hash order, alike on every run."""
     order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)

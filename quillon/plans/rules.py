@@ -512,6 +512,14 @@ def word_tokens(spark, sf_dir):
     return builders.doc_lemmas(spark.createDataFrame([("x", "Kröfu 12 kröfur")], "doc_id string, text string"), letters_only=False).select("lemma", "tf")
 
 
+@query(expect("setting VARCHAR, recall DOUBLE, hit DOUBLE, mrr DOUBLE, hit1 DOUBLE, zero BIGINT, widened INT", "'1', 0.5, 0.666667, 0.5, 0.333333, 1, 0", "'3', 0.666667, 0.666667, 0.5, 0.333333, 1, 1"))
+def relaxation_sweep(spark, sf_dir):
+    """Q15: two of three questions find something; with a higher bound the one of two words is widened and finds both its documents."""
+    expected = spark.createDataFrame([("krafa skaðabætur", "d"), ("krafa skaðabætur", "b"), ("þing", "e"), ("hestur", "a")], "question string, doc string")
+    runs = quality.sweep(expected, [1, 3], lambda q, below: find(spark, q=q, relax_below=below))
+    return runs.select("setting", *(F.round(c, 6).alias(c) for c in ("recall", "hit", "mrr", "hit1")), "zero", "widened")
+
+
 @query(expect("name VARCHAR, doc_id VARCHAR", "'stale', 'a'", "'stale', 'e'", "'forced', 'a'", "'forced', 'b'", "'since', 'a'", "'named', 'b'", "'limited', 'a'"))
 def batch_selection(spark, sf_dir):
     """F15, F16."""
