@@ -13,7 +13,8 @@ The join has two levels of pivots.
    shares one of the first floor(r|x|) + 1.  (This level is what others call a prefix
    filter.)  Regions are dealt out in columnar blocks of (region, class, size, place).
 3. A region of up to SMALL classes compares all pairs that size and place allow, first on
-   sketches, then on the sets.
+   sketches, then on the sets.  Larger regions with nearly the same members, as each
+   group of near copies has one for every shingle of its windows, are joined to one.
 4. In a larger region the pivots are documents.  The distance is that of the sketches: a
    sketch holds the parities of a set's shingles in bins, so the Hamming distance of two
    sketches never exceeds the sets' symmetric difference, and obeys the triangle
@@ -247,6 +248,12 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def alike(mixed: np.ndarray) -> int:
+    """A name for a set of mixed classes: two sets share it with the square of their Jaccard similarity as the chance."""
+    least = np.array([mixed.min(), tx.mix64(mixed ^ tx.stream(24, 1)).min()], tx.U64)
+    return int(tx.signed(tx.mix64(least ^ tx.stream(25, 2)))[0] ^ tx.signed(tx.mix64(least ^ tx.stream(26, 2)))[1])
+
+
 def compare(percent: int):
     """mapInArrow function over blocks: pairs to compare (kind 0) and members of large regions (kind 1)."""
 
@@ -318,11 +325,12 @@ def compare(percent: int):
                 c, s, m = cls[a : a + m][near], n[a : a + m][near], int(near.sum())
                 if m < 2:
                     continue
-                name = int(tx.mix64(np.array([np.bitwise_xor.reduce(tx.mix64(c.view(tx.U64)))], tx.U64))[0].view(np.int64))
-                if name in done:
+                mixed = tx.mix64(c.view(tx.U64))
+                same = int(np.bitwise_xor.reduce(mixed))
+                if same in done:
                     continue
-                done.add(name)
-                members.append(np.stack([np.full(m, name), c, s]))
+                done.add(same)
+                members.append(np.stack([np.full(m, alike(mixed)), c, s]))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
             yield from rows_of(0, [*pairs, np.zeros(pairs.shape[1], np.int64)])
             if members:
@@ -632,7 +640,7 @@ class Join:
         rows, leaves, depth = saved(rows, "jaccard-members"), [], 0
         large = (F.col("m") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES) & (F.col("m") > 2)
         while True:
-            sizes = saved(rows.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where("m > 1"), "jaccard-sizes", narrow=True)
+            sizes = saved(rows.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("visitor").alias("strangers")).where("m > 1 and not strangers").drop("strangers"), "jaccard-sizes", narrow=True)
             leaves.append(rows.join(sizes.where(~large).select("region"), "region", "left_semi").select(F.col("region").alias("cell"), F.lit(-1).alias("part"), *whole))
             if sizes.where(large).isEmpty():
                 break
@@ -659,7 +667,8 @@ class Join:
         every = F.greatest(F.floor(F.col("m") / F.lit(PIVOTS)), F.lit(1))
         pick = big.where(~F.col("visitor") & (F.pmod(F.xxhash64(F.lit(depth), "node"), every) == 0)).withColumn("shares", shares)
         pivots = pick.groupBy("region", "shares").agg(F.slice(F.sort_array(F.collect_list(F.struct("node", "sketch"))), 1, 2 * PIVOTS).alias("pivots"))
-        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        # read again: Spark rejects a cogroup of two frames with the same columns of one origin
+        pivots = saved(pivots, "jaccard-pivots", narrow=True).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
         left = rows.select("region", "salt", "node", "n", "sketch", "width", "guest", "visitor").groupBy("region", "salt")
         ddl = "parent long, region long, node long, n long, sketch binary, width int, guest boolean, visitor boolean"
         return left.cogroup(pivots.select("region", "salt", "pivots").groupBy("region", "salt")).applyInArrow(divider(self.percent, depth), ddl)

@@ -282,6 +282,42 @@ def test_jaccard_join_of_large_regions(spark, monkeypatch, seed, block, small):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def grouped(groups, each, words=200, shared=0, seed=8):
+    """Groups of near copies, their texts alike in so many words at the end."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        text = [f"g{g}_{j}" for j in range(words - shared)] + [f"s{j}" for j in range(shared)]
+        for i in range(each):
+            copy = list(text)
+            for j in rng.sample(range(words), rng.randint(1, 3)):
+                copy[j] = f"n{g}_{i}_{j}"
+            rows.append((1000 * g + i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("table, frequent", [(grouped(1, 150), 1 << 18), (grouped(5, 40, shared=120), 0)])
+def test_regions_that_spark_divides(spark, monkeypatch, table, frequent):
+    """Regions of more members than a task takes: one that goes in blocks, and some that pivots divide."""
+    divided = []
+    inner = jaccard_join.Join._divided
+    monkeypatch.setattr(jaccard_join, "BLOCK", 70)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join.Join, "_divided", lambda self, big, depth: divided.append(depth) or inner(self, big, depth))
+    want, _ = joined(table, 4, 85)
+    got = jaccard_join.digest(spark.createDataFrame(table, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert divided
+
+
+def test_regions_of_nearly_the_same_members_share_a_name():
+    rng = jaccard_join.np.random.default_rng(4)
+    cls = jaccard_join.tx.mix64(rng.integers(0, 1 << 62, 4000).astype("uint64"))
+    names = [jaccard_join.alike(cls[rng.random(4000) < 0.98]) for _ in range(60)]
+    assert max(Counter(names).values()) >= 30
+    assert len({jaccard_join.alike(cls[k : k + 50]) for k in range(0, 4000, 50)}) == 80
+
+
 def test_hot_regions_are_gathered_nowhere(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT", 20)
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
