@@ -310,6 +310,14 @@ def test_regions_that_spark_divides(spark, monkeypatch, table, frequent):
     assert divided
 
 
+def test_representatives_of_a_region_that_spark_divides(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 70)
+    table = grouped(1, 120) + [(5000, "alone"), (None, "alone"), (5001, None)]
+    want, _ = joined(table, 5, 80)
+    got = jaccard_join.representatives(spark.createDataFrame(table, "doc_id long, text string"))
+    assert sorted((r.doc_id is not None, r.doc_id) for r in got.collect()) == sorted((i is not None, i) for i, _, first in want if i == first)
+
+
 def test_regions_of_nearly_the_same_members_share_a_name():
     rng = jaccard_join.np.random.default_rng(4)
     cls = jaccard_join.tx.mix64(rng.integers(0, 1 << 62, 4000).astype("uint64"))
