@@ -318,6 +318,15 @@ def test_representatives_of_a_region_that_spark_divides(spark, monkeypatch):
     assert sorted((r.doc_id is not None, r.doc_id) for r in got.collect()) == sorted((i is not None, i) for i, _, first in want if i == first)
 
 
+def test_representatives_by_lists_that_are_not_broadcast(spark, monkeypatch):
+    """Lists of dropped and repeated rows that are too long to broadcast, as a large table has them."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    table = grouped(3, 10) + grouped(3, 10)[:7] + [(5000, "alone"), (5000, "alone"), (None, "alone"), (5001, None)]
+    want, _ = joined(list(dict.fromkeys(table)), 5, 80)
+    got = jaccard_join.representatives(spark.createDataFrame(table, "doc_id long, text string"))
+    assert sorted((r.doc_id is not None, r.doc_id) for r in got.collect()) == sorted((i is not None, i) for i, _, first in want if i == first)
+
+
 def test_regions_of_nearly_the_same_members_share_a_name():
     rng = jaccard_join.np.random.default_rng(4)
     cls = jaccard_join.tx.mix64(rng.integers(0, 1 << 62, 4000).astype("uint64"))
