@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .containment import contained
+
 DUPLICATE_KEY = ["source_short", "court", "case_number", "document_date", "verdict_type"]
 
 
@@ -80,29 +82,13 @@ def keep_newest(rows: DataFrame, key: list[str], newest: list[Column]) -> DataFr
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*newest))).where("_k = 1").drop("_k")
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct word trigrams of a text."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    at = F.when(F.size(w) >= 3, F.sequence(F.lit(1), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice(w, i, 3))))
-
-
 def containment(pages: DataFrame, share: float = 0.5, file_share: float = 0.7) -> DataFrame:
     """(file, inside, n): files with enough pages whose trigrams mostly lie in another, larger file.
 
-    The join is on hashed trigrams of pages, pre-aggregated; files without a common
-    trigram never meet.
+    n counts pages that hold share of their trigrams in the other file.  Rows of one page
+    count together; files without a common trigram never meet.
     """
-    grams = pages.select("file", "page", F.explode(trigrams(F.col("text"))).alias("gram")).withColumn("gram", F.xxhash64("gram"))
-    sizes = grams.groupBy("file", "page").agg(F.count("*").alias("n"))
-    whole = grams.select(F.col("file").alias("inside"), "gram").distinct()
-    weight = whole.groupBy("inside").agg(F.count("*").alias("in_size"))
-    own = whole.groupBy(F.col("inside").alias("file")).agg(F.count("*").alias("own_size"))
-    common = grams.join(whole, "gram").where("file <> inside").groupBy("file", "page", "inside").agg(F.count("*").alias("common"))
-    hit = common.join(sizes, ["file", "page"]).where(F.col("common") >= share * F.col("n"))
-    n_pages = sizes.groupBy("file").agg(F.count("*").alias("pages"))
-    found = hit.groupBy("file", "inside").agg(F.count("*").alias("n")).join(n_pages, "file").where(F.col("n") >= file_share * F.col("pages"))
-    return found.join(weight, "inside").join(own, "file").where("own_size <= in_size").select("file", "inside", "n")
+    return contained(pages, share, file_share)
 
 
 def retrieval_metrics(results: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:

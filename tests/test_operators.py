@@ -2,8 +2,9 @@
 
 import io
 import json
+import random
 import zipfile
-from collections import Counter
+from collections import Counter, defaultdict
 from datetime import date, datetime
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon import schema
 from quillon.functions import columns as C
-from quillon.operators import builders, graph, merge, quality, search, sqlguard
+from quillon.operators import builders, containment, graph, merge, quality, search, sqlguard
 from quillon.plans import catalog
 from quillon.sources import landed
 from quillon.streaming import incremental
@@ -297,6 +298,45 @@ def test_containment(spark):
     assert [(r.file, r.inside, r.n) for r in got] == [("part", "big", 3)]
 
 
+def test_containment_counts_rows_of_one_page_together(spark):
+    shared, rest = "eitt tvö þrjú fjögur", "fimm sex sjö átta níu tíu ellefu tólf"
+    rows = [("a", 1, shared), ("a", 1, shared), ("a", 1, rest), ("b", 1, shared + " allt annað en hitt og þetta sem hér er")]
+    got = quality.containment(spark.createDataFrame(rows, "file string, page int, text string"), share=0.3, file_share=0.5).collect()
+    assert got == []  # 2 of the page's 8 trigrams
+
+
+@pytest.mark.parametrize("block, pairs", [(4_000_000, 1_000_000), (150, 40), (20, 7)])
+def test_containment_in_small_cells_equals_all_pairs(spark, block, pairs):
+    rng = random.Random(3)
+    rows = [(f"f{rng.randrange(40)}", rng.choice([None, *range(9)]), " ".join(rng.choice("abcde") for _ in range(rng.randrange(14)))) for _ in range(300)]
+    rows += [("big", k, " ".join(rng.choice("abcde") for _ in range(40))) for k in range(12)] + [(None, 1, "a b c d e"), ("none", 1, None), ("f1", 3, "a b")]
+    grams = defaultdict(set)
+    for file, page, text in rows:
+        w = (text or "").split()
+        for k in range(len(w) - 2):
+            if file is not None:
+                grams[file, page].add(tuple(w[k : k + 3]))
+    whole, pages = defaultdict(set), Counter(file for file, _ in grams)
+    for (file, _), g in grams.items():
+        whole[file] |= g
+    want = set()
+    for a in whole:
+        for b in whole:
+            n = sum(10 * len(g & whole[b]) >= 7 * len(g) for (file, page), g in grams.items() if file == a and page is not None)
+            if a != b and n and 10 * n >= 7 * pages[a] and len(whole[a]) <= len(whole[b]):
+                want.add((a, b, n))
+    found = containment.contained(spark.createDataFrame(rows, "file string, page int, text string"), 0.7, 0.7, block, pairs)
+    got = [tuple(r) for r in found.collect()]
+    assert len(want) > 20 and len(got) == len(want) and set(got) == want
+
+
+def test_containment_makes_no_rows_of_pairs(spark):
+    rows = spark.range(300).selectExpr("id AS file", "1 AS page", "concat('allar síður segja ', id, ' og ', id + 1000, ' ekki ', id + 2000) AS text")
+    found = quality.containment(rows)
+    assert found.count() == 0
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metrics_samples_and_math(spark):
     assert quality.apportion({"a": 50, "b": 30, "c": 20}, 7) == {"a": 4, "b": 2, "c": 1}
     assert quality.apportion({"a": 0}, 3) == {"a": 0}
