@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Trigrams of the files that a cell holds.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Pairs of a page's trigram and a file that are counted at once.
 PAIRS = 1_000_000
 #: Rows of a batch of results.
@@ -59,13 +59,16 @@ def _judged(pages: DataFrame, share: float, file_share: float) -> DataFrame:
     rows = pages.where("file is not null").select("file", "page", trigrams(F.col("text")).alias("grams"))
     whole = F.array_distinct(F.flatten(F.collect_list("grams")))
     held = _saved(rows.repartition("file").groupBy("file", "page").agg(whole.alias("grams")).where("size(grams) > 0"), "trigrams")
-    own = held.select("file", F.explode("grams").alias("gram")).groupBy("file").agg(F.count_distinct("gram").alias("own"))
-    files = held.groupBy("file").agg(F.count("*").alias("pages")).join(own, "file")
     flat = held.select("file", "page", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    shared = flat.groupBy("gram").agg(F.min("file").alias("least"), F.max("file").alias("most")).where("least <> most").select("gram")
-    kept = flat.join(shared, "gram").repartition("file").groupBy("file", "page", "n").agg(F.collect_list("gram").alias("grams"))
+    repeated = flat.groupBy("gram").agg((F.min("file") != F.max("file")).alias("shared"), F.count("*").alias("rows")).where("rows > 1").select("gram", "shared")
+    lists = [F.collect_list(F.when(F.col("shared") == yes, F.col("gram"))).alias(name) for yes, name in ((True, "grams"), (False, "apart"))]
+    paged = _saved(flat.join(repeated, "gram").repartition("file").groupBy("file", "page", "n").agg(*lists), "repeated-trigrams")
+    # only repeated trigrams can be in two pages of a file
+    again = paged.select("file", F.explode(F.concat("grams", "apart")).alias("gram")).groupBy("file").agg((F.count("*") - F.count_distinct("gram")).alias("again"))
+    files = held.groupBy("file").agg(F.count("*").alias("pages"), F.sum(F.size("grams")).alias("all")).join(again, "file", "left")
+    own = F.col("all") - F.coalesce("again", F.lit(0))
     need = F.when(F.col("page").isNotNull(), _least(share, "n"))
-    return _saved(kept.join(files, "file").select("file", need.alias("need"), _least(file_share, "pages").alias("file_need"), "own", "grams"), "shared-trigrams")
+    return _saved(paged.where("size(grams) > 0").join(files, "file").select("file", need.alias("need"), _least(file_share, "pages").alias("file_need"), own.alias("own"), "grams"), "shared-trigrams")
 
 
 def _dealt(rows: DataFrame, most: int) -> DataFrame | None:
@@ -120,7 +123,9 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[k], first[k] + 1, ... n[k] times, for every k."""
     end = np.cumsum(n)
-    return np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + n, n)
+    place = np.repeat((first - end + n).astype(np.int32), n)
+    place += np.arange(len(place), dtype=np.int32)
+    return place
 
 
 class _Block:
@@ -129,17 +134,21 @@ class _Block:
     def __init__(self, rows: list[pa.RecordBatch], pairs: int):
         self.pairs = pairs
         table = pa.Table.from_batches(rows).combine_chunks()
+        rows.clear()
         name = table.column("file").chunk(0)
         at = _starts(name)
         self.names, self.sizes = name.take(pa.array(at)), table.column("own").to_numpy()[at]
         self.k = len(at)
         grams, n = _lists(table.column("grams").chunk(0))
         owner = np.repeat(np.repeat(np.arange(self.k, dtype=np.int32), np.diff(at, append=len(name))), n)
-        order = np.argsort(grams, kind="stable")
+        order = np.argsort(grams)
         grams, owner = grams[order], owner[order]
+        del order, table
         new = _runs(grams)
-        # pages of one file may hold the same trigram
-        place = np.unique(np.repeat(np.arange(len(new), dtype=np.int64), np.diff(new, append=len(grams))) * self.k + owner)
+        place = np.repeat(np.arange(len(new), dtype=np.int64) * self.k, np.diff(new, append=len(grams)))
+        place += owner
+        place.sort()
+        place = place[_runs(place)]  # pages of one file may hold the same trigram
         self.grams, self.place, self.owner = grams[new], place, (place % self.k).astype(np.int32)
         self.end = np.searchsorted(place, np.arange(1, len(new) + 1) * self.k)
         self.open: tuple | None = None
@@ -244,7 +253,7 @@ def _compared(batches: Iterator[pa.RecordBatch], pairs: int) -> Iterator[pa.Reco
         at = int(np.searchsorted(side, 1))
         if at:
             files.append(batch.slice(0, at))
-        if at == len(side) or not files:
+        if at == len(side) or not (files or block):
             continue
         block = block or _Block(files, pairs)
         n = np.append(0, np.cumsum(pc.list_value_length(batch.column("grams")).to_numpy(zero_copy_only=False)))
